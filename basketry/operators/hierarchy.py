@@ -1,8 +1,9 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and rings.
 
 Level-wise frontier joins throughout: a level is one equi-join of the last level's rows with the links. A few
-levels are planned as one job (``UNROLL``) and stored in the shared scratch folder, so plans stay short and an
-executor's loss costs a few levels at most. Nothing is gathered on the driver but row counts.
+levels are planned as one job and stored in the shared scratch folder, so plans stay short and an executor's loss
+costs a few levels at most. Nothing is gathered on the driver but row counts, and nothing is broadcast: with a
+broadcast per level all levels would pass through the driver's memory.
 """
 
 from __future__ import annotations
@@ -15,15 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.names import clean_name
 from ..session import cut, discard
 
-UNROLL = 4
+#: Levels per job where each refers to the last one once, and where it does so twice.
+UNROLL, UNROLL_TWICE = 4, 2
 
-#: Links are broadcast while there are at most this many (names of tens of bytes: some 20 MB); beyond, levels
-#: are joined by shuffle.
-BROADCAST_LINKS = 400_000
 
-
-def _hint(rows: int):
-    return F.broadcast if rows <= BROADCAST_LINKS else (lambda side: side)
+def _merge(frame: DataFrame) -> DataFrame:
+    return frame.hint("merge")
 
 
 def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent") -> tuple[DataFrame, DataFrame]:
@@ -33,42 +31,31 @@ def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent")
     """
     rows = pairs.select(clean_name(F.col(child)).alias("child"), clean_name(F.col(parent)).alias("parent")).where(F.col("child").isNotNull()).distinct()
     links = cut(rows.where(F.col("parent").isNotNull()))
-    count = links.count()
-    if count <= BROADCAST_LINKS:
-        links = cut(_few(links, count))
     items = cut(rows.select(F.col("child").alias("item")).union(links.select("parent")).distinct())
     return links, items
 
 
-def _few(frame: DataFrame, rows: int) -> DataFrame:
-    """One file per 100,000 rows, so that the levels of small tables are not spent on opening files."""
-    return frame.coalesce(1 + rows // 100_000) if rows <= BROADCAST_LINKS else frame
-
-
-def _empty(frame: DataFrame) -> bool:
-    return frame.isEmpty()
-
-
-def peel(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(clean, rest)``: links of children that hang on no ring, and the links of all other children.
+def trim(links: DataFrame) -> DataFrame:
+    """Links that lie between a link above and a link below, again and again until none falls away.
 
-    Each step lets go of the children none of whose parents is itself still a child; what is never let go
-    hangs on a ring. The links left shrink from step to step.
+    Both ends of all ways shrink at once, so half as many rounds as the longest way has links are enough. What
+    is left are the rings and the ways between them.
     """
-    rest, left = links, links.count()
-    while left:
-        hint, now = _hint(left), rest
-        for _ in range(3 if left <= BROADCAST_LINKS else 1):  # the broadcasts of a step are made once and used again
-            held = now.join(hint(now.select(F.col("child").alias("parent"))), "parent", "left_semi").select("child")
-            now = now.join(hint(held), "child", "left_semi").select("child", "parent")
-        new = cut(_few(now, left))
-        if rest is not links:
-            discard(rest)
-        count, rest = new.count(), new
-        if count == left:
+    now = links
+    count = links.count()
+    while count:
+        new = now
+        for _ in range(UNROLL_TWICE):
+            kept = new.join(_merge(new.select(F.col("child").alias("parent")).distinct()), "parent", "left_semi")
+            new = kept.join(_merge(new.select(F.col("parent").alias("child")).distinct()), "child", "left_semi").select("child", "parent")
+        new = cut(new)
+        if now is not links:
+            discard(now)
+        left, now = new.count(), new
+        if left == count:
             break
-        left = count
-    return links.join(_hint(left)(rest.select("child")), "child", "left_anti").select("child", "parent"), rest
+        count = left
+    return now
 
 
 def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
@@ -80,106 +67,81 @@ def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
     keep = ["item", "root"]
     best = [F.min("path").alias("path")] if paths else []
     frontier, levels, depth = start, [start.withColumn("depth", F.lit(1).cast("bigint"))], 1
-    count = links.count()
-    links, small = _hint(count)(links), count <= BROADCAST_LINKS
     while True:
         steps, now = [], frontier
-        for k in range(UNROLL):
+        for _ in range(UNROLL):
             depth += 1
-            grown = now.join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), "root", *([F.concat("path", F.array("child")).alias("path")] if paths else []))
-            # with broadcast links a shuffle only every UNROLL levels: rows met on several ways wait until then
-            if not small or k == UNROLL - 1:
-                grown = grown.groupBy(*keep).agg(*best) if paths else grown.distinct()
-            now = grown
+            grown = _merge(now).join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), "root", *([F.concat("path", F.array("child")).alias("path")] if paths else []))
+            now = grown.groupBy(*keep).agg(*best) if paths else grown.distinct()
             steps.append(now.withColumn("depth", F.lit(depth).cast("bigint")))
         made = cut(reduce(DataFrame.unionByName, steps))
         frontier = made.where(F.col("depth") == depth).drop("depth")
         levels.append(made)
-        if _empty(frontier):
+        if frontier.isEmpty():
             break
-    every = reduce(DataFrame.unionByName, levels)
-    if paths:  # the longest way, of several the smallest
-        every = every.groupBy(*keep, "depth").agg(F.min("path").alias("path")).groupBy(*keep)
+    every = reduce(DataFrame.unionByName, levels).groupBy(*keep)
+    if paths:
         return every.agg(F.max("depth").alias("depth"), F.max_by("path", "depth").alias("path"))
-    every = every.groupBy(*keep)
     return every.agg(F.max("depth").alias("depth"))
 
 
-def rings(rest: DataFrame) -> DataFrame:
-    """``(item, ring)``: items of rings with the smallest name of their ring, from links without clean children.
+def rings(links: DataFrame) -> DataFrame:
+    """``(item, ring)``: items of rings with the smallest name of their ring.
 
-    Colours flow down the links until each item has the smallest name above it; an item that keeps its own
-    name closes a ring with those of its colour from which it can be reached. Items of found rings leave, and
-    the rest is coloured again. Each round needs as many levels as the longest ring has items at most.
+    Colours flow down what :func:`trim` leaves until each item has the smallest name above it; an item that keeps
+    its own name closes a ring with those of its colour from which it can be reached. Items of found rings leave,
+    and the rest is trimmed and coloured again. A round needs as many levels as the longest ring has items at most.
     """
-    links = rest.where("child <> parent")
-    found = [cut(rest.where("child = parent").select(F.col("child").alias("item"), F.col("child").alias("ring")))]
+    found = [links.where("child = parent").select(F.col("child").alias("item"), F.col("child").alias("ring"))]
+    links = links.where("child <> parent")
     while True:
-        links = _trim(links)
-        if _empty(links):
+        links = trim(links)
+        if links.isEmpty():
             break
         colours = cut(links.select(F.col("child").alias("item")).union(links.select("parent")).distinct().withColumn("colour", F.col("item")))
         while True:
             now = colours
-            for _ in range(UNROLL):
-                sent = links.join(now.withColumnRenamed("item", "parent"), "parent").select(F.col("child").alias("item"), "colour")
+            for _ in range(UNROLL_TWICE):
+                sent = _merge(links).join(now.withColumnRenamed("item", "parent"), "parent").select(F.col("child").alias("item"), "colour")
                 now = now.union(sent).groupBy("item").agg(F.min("colour").alias("colour"))
             new = cut(now)
-            same = new.join(colours, ["item", "colour"], "left_anti").isEmpty()
+            same = new.join(_merge(colours), ["item", "colour"], "left_anti").isEmpty()
             discard(colours)
             colours = new
             if same:
                 break
-        # links within a colour; go up from the items that gave their colour
-        tint = lambda name: colours.withColumnRenamed("item", name)
+        # links within a colour; up from the items that gave their colour
+        tint = lambda name: _merge(colours.withColumnRenamed("item", name))
         inner = cut(links.join(tint("child"), "child").join(tint("parent"), ["parent", "colour"]).select("child", "parent", "colour"))
-        ring = cut(colours.where("item = colour"))
-        frontier, parts = ring, [ring]
-        while True:
-            now = reduce(DataFrame.unionByName, parts)
+        parts = [cut(colours.where("item = colour"))]
+        frontier = parts[0]
+        while not frontier.isEmpty():
+            steps = [frontier]
             for _ in range(UNROLL):
-                up = inner.join(now.withColumnRenamed("item", "child"), ["child", "colour"]).select(F.col("parent").alias("item"), "colour")
-                now = now.union(up).distinct()
-            new = cut(now.join(reduce(DataFrame.unionByName, parts), ["item", "colour"], "left_anti"))
-            if _empty(new):
-                break
+                steps.append(_merge(inner).join(steps[-1].withColumnRenamed("item", "child"), ["child", "colour"]).select(F.col("parent").alias("item"), "colour").distinct())
+            new = cut(reduce(DataFrame.unionByName, steps[1:]).distinct().join(_merge(reduce(DataFrame.unionByName, parts)), ["item", "colour"], "left_anti"))
             parts.append(new)
+            frontier = new
         closed = cut(reduce(DataFrame.unionByName, parts))
         # an item alone in its colour is no ring: a ring's first item has a parent within the ring
-        real = inner.join(closed.select(F.col("item").alias("parent"), "colour"), ["parent", "colour"], "left_semi").select("colour", F.col("child").alias("item")).join(closed, ["item", "colour"], "left_semi").where("item = colour").select("colour").distinct()
-        found.append(cut(closed.join(real, "colour", "left_semi").select("item", F.col("colour").alias("ring"))))
+        real = inner.where("child = colour").join(_merge(closed.withColumnRenamed("item", "parent")), ["parent", "colour"], "left_semi").select("colour").distinct()
+        found.append(cut(closed.join(_merge(real), "colour", "left_semi").select("item", F.col("colour").alias("ring"))))
         gone = closed.select("item")
-        links = cut(links.join(gone.withColumnRenamed("item", "child"), "child", "left_anti").join(gone.withColumnRenamed("item", "parent"), "parent", "left_anti"))
+        links = cut(links.join(_merge(gone.withColumnRenamed("item", "child")), "child", "left_anti").join(_merge(gone.withColumnRenamed("item", "parent")), "parent", "left_anti").select("child", "parent"))
     return reduce(DataFrame.unionByName, found).groupBy("item").agg(F.min("ring").alias("ring"))
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Links between items that have both a link above and a link below them, again and again."""
-    links = cut(links)
-    count = links.count()
-    while count:
-        hint = _hint(count)
-        now = links.join(hint(links.select(F.col("parent").alias("child"))), "child", "left_semi")
-        new = cut(now.join(hint(links.select(F.col("child").alias("parent"))), "parent", "left_semi"))
-        discard(links)
-        left, links = new.count(), new
-        if left == count:
-            break
-        count = left
-    return links
-
-
-def reach(start: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct ``(item, root)`` of ``start`` and all that hangs below it; rings are allowed."""
-    links = _hint(links.count())(links)
-    parts = [cut(start.select("item", "root").distinct())]
+def reach(start: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Distinct rows of ``start`` (``item`` and ``keys``) and all that hangs below them; rings are allowed."""
+    keys = ["root"] if keys is None else keys
+    parts = [cut(start.select("item", *keys).distinct())]
     frontier = parts[0]
-    while not _empty(frontier):
+    while not frontier.isEmpty():
         steps = [frontier]
         for _ in range(UNROLL):
             now = steps[-1]
-            steps.append(now.join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), "root").distinct())
-        new = cut(reduce(DataFrame.unionByName, steps[1:]).distinct().join(reduce(DataFrame.unionByName, parts), ["item", "root"], "left_anti"))
+            steps.append(_merge(now).join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), *keys).distinct())
+        new = cut(reduce(DataFrame.unionByName, steps[1:]).distinct().join(_merge(reduce(DataFrame.unionByName, parts)), ["item", *keys], "left_anti"))
         parts.append(new)
         frontier = new
     return reduce(DataFrame.unionByName, parts)
@@ -195,20 +157,22 @@ def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", pa
     Void children and repeated rows count for nothing; an empty table gives no rows; other columns are not read.
     """
     links, items = clean_links(pairs, child, parent)
-    clean, rest = peel(links)
-    clean = cut(clean)
-    roots = items.join(links.select(F.col("child").alias("item")), "item", "left_anti").select("item", F.col("item").alias("root"))
+    ring = cut(rings(links))
+    ringed = not ring.isEmpty()
+    clean, rest = links, None
+    if ringed:  # the links into items on or below a ring, and all others
+        hung = cut(reach(ring.select("item"), links, []).select(F.col("item").alias("child")))
+        clean, rest = cut(links.join(_merge(hung), "child", "left_anti").select("child", "parent")), cut(links.join(_merge(hung), "child", "left_semi").select("child", "parent"))
+    roots = items.join(_merge(links.select(F.col("child").alias("item"))), "item", "left_anti").select("item", F.col("item").alias("root"))
     if paths:
         roots = roots.withColumn("path", F.array("item"))
     above = cut(walk(cut(roots), clean, paths))
     out = above.withColumn("on_ring", F.lit(False))
-    if not _empty(rest):
-        rest = cut(rest)
-        ring = cut(rings(rest))
+    if ringed:
         # from clean items straight into the ringed part, and from the rings themselves
-        entering = rest.join(above.select(F.col("item").alias("parent"), "root"), "parent").select(F.col("child").alias("item"), "root")
+        entering = rest.join(_merge(above.select(F.col("item").alias("parent"), "root")), "parent").select(F.col("child").alias("item"), "root")
         below = reach(entering.union(ring.select("item", F.col("ring").alias("root"))), rest)
-        marked = below.join(ring.select("item", F.lit(True).alias("on_ring")), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
+        marked = below.join(_merge(ring.select("item", F.lit(True).alias("on_ring"))), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
         if paths:
             marked = marked.withColumn("path", F.lit(None).cast("array<string>"))
         out = out.unionByName(marked)
