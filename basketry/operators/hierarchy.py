@@ -8,16 +8,38 @@ broadcast per level all levels would pass through the driver's memory.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name
 from ..session import cut, discard
 
-#: Levels per job where each refers to the last one once, and where it does so twice.
-UNROLL, UNROLL_TWICE = 4, 2
+#: Levels per job of chains with one shuffle per level, of chains whose levels are all results, and of steps
+#: that refer to the last one twice.
+CHAIN, UNROLL, UNROLL_TWICE = 6, 4, 2
+
+
+#: Up to this many links the levels' plans are light: planned once (not again after each of their many small
+#: stages), interpreted, and over few partitions. For such tables planning and compiling hundreds of small stages
+#: would cost the driver more time and memory than the stages take. Larger tables keep the session's settings.
+LIGHT_LINKS = 2_000_000
+
+
+@contextmanager
+def _light_plans(spark: SparkSession, rows: int):
+    now = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(4 + rows // 50_000)}
+    before = {name: spark.conf.get(name) for name in now}
+    if rows <= LIGHT_LINKS:
+        for name, value in now.items():
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _merge(frame: DataFrame) -> DataFrame:
@@ -35,6 +57,32 @@ def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent")
     return links, items
 
 
+def resolve(links: DataFrame, items: DataFrame) -> DataFrame:
+    """``(item, level)``: the longest way from a root, in items; null for items that hang on a ring.
+
+    From the roots, each level tells its children that a parent is done; a child with no parent left joins the
+    next level. Items that are never reached so hang on a ring. A level costs one shuffle: rows stay parted by
+    item, as are the links by parent, and only the messages to children move.
+    """
+    need = links.groupBy(F.col("child").alias("item")).agg(F.count(F.lit(1)).alias("need"))
+    state = items.join(_merge(need), "item", "left").select("item", F.coalesce("need", F.lit(0)).alias("need"))
+    state = cut(state.withColumn("level", F.when(F.col("need") == 0, 1)))
+    level = 1
+    while True:
+        # a chain of levels is one statement: as calls it would take thousands of round trips to the driver's JVM
+        steps = ["n0 AS (SELECT /*+ REPARTITION(item) */ * FROM {state})"]
+        for k in range(CHAIN):
+            steps.append(f"""m{k} AS (SELECT /*+ MERGE(n) */ inline(CASE WHEN l.child IS NULL THEN array(struct(n.item, n.need, 0L AS done, n.level))
+              ELSE array(struct(n.item, n.need, 0L AS done, n.level), struct(l.child AS item, CAST(NULL AS BIGINT) AS need, 1L AS done, CAST(NULL AS INT) AS level)) END) FROM n{k} n LEFT JOIN {{links}} l ON n.item = l.parent AND n.level = {level})""")
+            level += 1
+            steps.append(f"n{k + 1} AS (SELECT item, need, coalesce(level, CASE WHEN need = 0 THEN {level} END) AS level FROM (SELECT item, max(need) - sum(done) AS need, max(level) AS level FROM m{k} GROUP BY item))")
+        new = cut(links.sparkSession.sql(f"WITH {', '.join(steps)} SELECT * FROM n{CHAIN}", state=state, links=links))
+        discard(state)
+        state = new
+        if state.where(F.col("level") == level).isEmpty():
+            return state.select("item", "level")
+
+
 def trim(links: DataFrame) -> DataFrame:
     """Links that lie between a link above and a link below, again and again until none falls away.
 
@@ -65,18 +113,22 @@ def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
     root one stays (that of the smallest path), of different lengths the longest.
     """
     keep = ["item", "root"]
-    best = [F.min("path").alias("path")] if paths else []
-    frontier, levels, depth = start, [start.withColumn("depth", F.lit(1).cast("bigint"))], 1
+    frontier, levels, depth = start.withColumn("depth", F.lit(1).cast("bigint")), [], 1
+    own, told = "n.item, n.root, n.depth", "l.child AS item, n.root, {depth} AS depth"
+    if paths:
+        own, told = f"{own}, n.path", f"{told}, concat(n.path, array(l.child)) AS path"
     while True:
-        steps, now = [], frontier
-        for _ in range(UNROLL):
+        steps = ["n0 AS (SELECT /*+ REPARTITION(item) */ * FROM {frontier})"]
+        for k in range(CHAIN):
+            child = told.format(depth=f"{depth + 1}L")
+            steps.append(f"""m{k} AS (SELECT /*+ REPARTITION(item) */ * FROM (SELECT /*+ MERGE(n) */ inline(CASE WHEN l.child IS NULL THEN array(struct({own})) ELSE array(struct({own}), struct({child})) END)
+              FROM n{k} n LEFT JOIN {{links}} l ON n.item = l.parent AND n.depth = {depth}))""")
+            # the longest way, of several the smallest
+            steps.append(f"n{k + 1} AS (SELECT item, root, max(depth) AS depth" + (", max_by(path, depth) AS path FROM (SELECT item, root, depth, min(path) AS path FROM m" + f"{k} GROUP BY item, root, depth)" if paths else f" FROM m{k}") + " GROUP BY item, root)")
             depth += 1
-            grown = _merge(now).join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), "root", *([F.concat("path", F.array("child")).alias("path")] if paths else []))
-            now = grown.groupBy(*keep).agg(*best) if paths else grown.distinct()
-            steps.append(now.withColumn("depth", F.lit(depth).cast("bigint")))
-        made = cut(reduce(DataFrame.unionByName, steps))
-        frontier = made.where(F.col("depth") == depth).drop("depth")
+        made = cut(links.sparkSession.sql(f"WITH {', '.join(steps)} SELECT * FROM n{CHAIN}", frontier=frontier, links=links))
         levels.append(made)
+        frontier = made.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
     every = reduce(DataFrame.unionByName, levels).groupBy(*keep)
@@ -157,25 +209,28 @@ def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", pa
     Void children and repeated rows count for nothing; an empty table gives no rows; other columns are not read.
     """
     links, items = clean_links(pairs, child, parent)
-    ring = cut(rings(links))
-    ringed = not ring.isEmpty()
-    clean, rest = links, None
-    if ringed:  # the links into items on or below a ring, and all others
-        hung = cut(reach(ring.select("item"), links, []).select(F.col("item").alias("child")))
-        clean, rest = cut(links.join(_merge(hung), "child", "left_anti").select("child", "parent")), cut(links.join(_merge(hung), "child", "left_semi").select("child", "parent"))
-    roots = items.join(_merge(links.select(F.col("child").alias("item"))), "item", "left_anti").select("item", F.col("item").alias("root"))
-    if paths:
-        roots = roots.withColumn("path", F.array("item"))
-    above = cut(walk(cut(roots), clean, paths))
-    out = above.withColumn("on_ring", F.lit(False))
-    if ringed:
-        # from clean items straight into the ringed part, and from the rings themselves
-        entering = rest.join(_merge(above.select(F.col("item").alias("parent"), "root")), "parent").select(F.col("child").alias("item"), "root")
-        below = reach(entering.union(ring.select("item", F.col("ring").alias("root"))), rest)
-        marked = below.join(_merge(ring.select("item", F.lit(True).alias("on_ring"))), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
+    with _light_plans(pairs.sparkSession, links.count()):
+        levels = resolve(links, items)
+        hung = levels.where("level is null").select(F.col("item").alias("child"))
+        ringed = not hung.isEmpty()
+        clean = links
+        if ringed:  # links into items on or below a ring, and all others
+            rest = cut(links.join(_merge(hung), "child", "left_semi").select("child", "parent"))
+            clean = cut(links.join(_merge(hung), "child", "left_anti").select("child", "parent"))
+            ring = cut(rings(rest))
+        roots = levels.where("level = 1").select("item", F.col("item").alias("root"))
         if paths:
-            marked = marked.withColumn("path", F.lit(None).cast("array<string>"))
-        out = out.unionByName(marked)
+            roots = roots.withColumn("path", F.array("item"))
+        above = cut(walk(cut(roots), clean, paths))
+        out = above.withColumn("on_ring", F.lit(False))
+        if ringed:
+            # from clean items straight into the ringed part, and from the rings themselves
+            entering = rest.join(_merge(above.select(F.col("item").alias("parent"), "root")), "parent").select(F.col("child").alias("item"), "root")
+            below = reach(entering.union(ring.select("item", F.col("ring").alias("root"))), rest)
+            marked = below.join(_merge(ring.select("item", F.lit(True).alias("on_ring"))), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
+            if paths:
+                marked = marked.withColumn("path", F.lit(None).cast("array<string>"))
+            out = out.unionByName(marked)
     return out.select("item", "root", "depth", "on_ring", *(["path"] if paths else []))
 
 
@@ -183,4 +238,6 @@ def descendants(pairs: DataFrame, child: str = "child", parent: str = "parent")
     """Distinct ``(item, descendant)``: all items below each item; an item on a ring is below itself."""
     links, _ = clean_links(pairs, child, parent)
     first = links.select(F.col("child").alias("item"), F.col("parent").alias("root"))
-    return reach(first, links).select(F.col("root").alias("item"), F.col("item").alias("descendant"))
+    with _light_plans(pairs.sparkSession, links.count()):
+        below = reach(first, links)
+    return below.select(F.col("root").alias("item"), F.col("item").alias("descendant"))
