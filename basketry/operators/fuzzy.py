@@ -16,9 +16,10 @@ def _degrees(frame: DataFrame, items: str, degrees: str) -> DataFrame:
     pairs = F.arrays_zip(F.coalesce(F.col(items), F.array().cast("array<string>")).alias("i"), F.coalesce(F.col(degrees), F.array().cast("array<double>")).alias("d"))
     bad = F.exists(pairs, lambda s: (s["d"] < 0) | (s["d"] > 1) | F.isnan(s["d"]))
     good = F.filter(F.when(bad, F.raise_error(F.lit("degrees must lie in [0, 1]"))).otherwise(pairs), lambda s: (s["d"] > 0) & s["i"].isNotNull())
-    names = F.array_sort(F.array_distinct(F.transform(good, lambda s: s["i"])))
-    top = F.transform(names, lambda n: F.array_max(F.transform(F.filter(good, lambda s: s["i"] == n), lambda s: s["d"])))
-    return frame.select(*[c for c in frame.columns if c not in (items, degrees)], names.alias(items), top.alias(degrees))
+    table = frame.withColumn("_sorted", F.array_sort(good))
+    # sorted by item and degree, the last of equal items has the largest degree
+    table = table.withColumn("_top", F.filter("_sorted", lambda x, k: (k == F.size("_sorted") - 1) | (F.get("_sorted", k + 1)["i"] != x["i"])))
+    return table.select(*[c for c in frame.columns if c not in (items, degrees)], F.col("_top.i").alias(items), F.col("_top.d").alias(degrees))
 
 
 def fuzzy_itemsets(frame: DataFrame, min_supp: float, num_alpha: int = 10, items: str = "items", degrees: str = "degrees", group: str | None = None, max_len: int | None = None) -> DataFrame:

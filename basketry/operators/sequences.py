@@ -282,9 +282,9 @@ def fuzzy_sequential_rules(sequences: DataFrame, min_supp: float, min_conf: floa
     rows = cut(sequences.select("sid", ELEMENTS))
     total = rows.count()
     flat = F.filter(F.flatten(F.coalesce(F.col(ELEMENTS), F.array().cast(dict(rows.dtypes)[ELEMENTS]))), lambda s: s["degree"] > 0)
-    names = F.array_sort(F.array_distinct(F.transform(flat, lambda s: s["item"])))
-    top = F.transform(names, lambda i: F.array_max(F.transform(F.filter(flat, lambda s: s["item"] == i), lambda s: s["degree"])))
-    found = I.mine(rows.select(names.alias("items"), top.alias("degrees")), min_supp, "items", "degrees", max_len=max_antecedent + max_consequent, payload=I.Mean(tnorm))
+    best = rows.select(F.array_sort(flat).alias("s"))
+    best = best.select(F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1)["item"] != x["item"])).alias("s"))
+    found = I.mine(best.select(F.col("s.item").alias("items"), F.col("s.degree").alias("degrees")), min_supp, "items", "degrees", max_len=max_antecedent + max_consequent, payload=I.Mean(tnorm))
     found = cut(found.select("itemset", (F.col("sums")[0] / F.col("n")).alias("support")))
     wanted = [(tuple(r["antecedents"]), tuple(r["consequents"])) for r in splits(found, []).where((F.size("antecedents") <= max_antecedent) & (F.size("consequents") <= max_consequent)).collect()]
 

@@ -153,11 +153,9 @@ def shuffled_items(rows: DataFrame, items: str = "items", null: str = "permute",
     else:
         # an affine bijection modulo the next prime, walked on until it falls inside
         prime = _next_prime(max(total, 2))
-        a = F.pmod(F.xxhash64("item", "perm", F.lit(seed + 1)), F.lit(prime - 1)) + 1
+        a = F.pmod(F.xxhash64("item", "perm", F.lit(seed + 1)), F.lit(min(prime - 1, 1 << 20))) + 1
         step = lambda p: F.pmod(F.pmod(p * a, F.lit(prime)) + key, F.lit(prime))
-        moved = step(F.col("p"))
-        for _ in range(4):
-            moved = F.when(moved < total, moved).otherwise(step(moved))
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), step(F.col("p")), lambda m, _: F.when(m < total, m).otherwise(step(m)))
         moved = F.when(moved < total, moved).otherwise(F.col("p"))
     out = long.select("perm", moved.alias(pos), "item").groupBy("perm", pos).agg(F.array_sort(F.collect_set("item")).alias(items))
     every = rows.select(F.col(pos).cast("bigint").alias(pos)).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.names import BLANKS
 from ..operators import grid, hierarchy
+from . import reference_queries
 
 _STRIP = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 
@@ -36,8 +37,8 @@ def p6_grid(spark, sf_dir):
     return grid.hourly_temperatures(_table(spark, sf_dir, "sensors"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_grid)}
-ORACLE: dict[str, str] = {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_grid)} | reference_queries.QUERIES
+ORACLE: dict[str, str] = reference_queries.ORACLE | {
     "p6_found": f"""WITH cell AS (SELECT DISTINCT trim(house, {_STRIP}) AS house, CAST(floor(epoch(time) / 3600) AS BIGINT) * 3600 AS slot
                    FROM sensors WHERE time >= TIMESTAMPTZ '2020-01-01 00:00:00+00' AND temp BETWEEN -60 AND 70 AND trim(house, {_STRIP}) <> ''),
      run AS (SELECT house, slot, lead(slot) OVER (PARTITION BY house ORDER BY slot) AS nxt FROM cell)

@@ -381,7 +381,7 @@ _TRI = """CASE WHEN q <= 5 THEN 1 WHEN q < 25 THEN (25 - q) / 20 ELSE 0 END AS q
 
 
 def _lines(spark, d):
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("qty"), F.col("l_discount").cast("double").alias("disc"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("qty"), F.round(F.col("l_discount") * 100).cast("double").alias("disc"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(qty_low, 6) AS qty_low, round(qty_medium, 6) AS qty_medium, round(qty_high, 6) AS qty_high FROM (SELECT l_orderkey, l_linenumber, {_TRI} FROM (SELECT *, l_quantity::DOUBLE AS q FROM lineitem))")
@@ -420,19 +420,19 @@ def auto_partition_kmeans(spark, d):
 
 def fuzzy_rows(spark, d):
     """Lines as fuzzy transactions: quantity and discount in three degrees each."""
-    table = M.fuzzify(_lines(spark, d), {"qty": PEAKS, "disc": [0.0, 0.05, 0.1]})
+    table = M.fuzzify(_lines(spark, d), {"qty": PEAKS, "disc": [0.0, 5.0, 10.0]})
     pairs = M.fuzzy_transactions(table, [f"{a}_{b}" for a in ("qty", "disc") for b in ("low", "medium", "high")])
     return table.select(pairs.alias("s")).select(F.col("s.item").alias("items"), F.col("s.degree").alias("degrees"))
 
 
-_F = f"""WITH m AS (SELECT {_TRI}, CASE WHEN x <= 0 THEN 1 WHEN x < 0.05 THEN (0.05 - x) / (0.05 - 0) ELSE 0 END AS disc_low, CASE WHEN x <= 0 THEN 0 WHEN x < 0.05 THEN (x - 0) / (0.05 - 0) WHEN x <= 0.05 THEN 1 WHEN x < 0.1 THEN (0.1 - x) / (0.1 - 0.05) ELSE 0 END AS disc_medium,
-    CASE WHEN x <= 0.05 THEN 0 WHEN x < 0.1 THEN (x - 0.05) / (0.1 - 0.05) ELSE 1 END AS disc_high FROM (SELECT l_quantity::DOUBLE AS q, l_discount::DOUBLE AS x FROM lineitem)),
+_F = f"""WITH m AS (SELECT {_TRI}, CASE WHEN x <= 0 THEN 1 WHEN x < 5 THEN (5 - x) / 5 ELSE 0 END AS disc_low, CASE WHEN x <= 0 THEN 0 WHEN x < 5 THEN x / 5 WHEN x <= 5 THEN 1 WHEN x < 10 THEN (10 - x) / 5 ELSE 0 END AS disc_medium,
+    CASE WHEN x <= 5 THEN 0 WHEN x < 10 THEN (x - 5) / 5 ELSE 1 END AS disc_high FROM (SELECT l_quantity::DOUBLE AS q, round(l_discount * 100)::DOUBLE AS x FROM lineitem)),
   u AS (SELECT row_number() OVER () AS t, * FROM m), l AS (UNPIVOT u ON qty_low, qty_medium, qty_high, disc_low, disc_medium, disc_high INTO NAME item VALUE g),
   one AS (SELECT item, [count(*) FILTER (g >= 1), count(*) FILTER (g >= 0.8), count(*) FILTER (g >= 0.6), count(*) FILTER (g >= 0.4), count(*) FILTER (g >= 0.2)] AS v FROM l GROUP BY item),
   two AS (SELECT x.item AS a, y.item AS b, [count(*) FILTER (least(x.g, y.g) >= 1), count(*) FILTER (least(x.g, y.g) >= 0.8), count(*) FILTER (least(x.g, y.g) >= 0.6), count(*) FILTER (least(x.g, y.g) >= 0.4), count(*) FILTER (least(x.g, y.g) >= 0.2)] AS v
     FROM l x JOIN l y ON x.t = y.t AND x.item < y.item WHERE x.g > 0 AND y.g > 0 GROUP BY x.item, y.item),
   fi AS (SELECT [item] AS itemset, v FROM one UNION ALL SELECT [a, b], v FROM two), n AS (SELECT count(*) AS n FROM u),
-  fs AS (SELECT itemset, list_transform(v, lambda k: k / (SELECT n FROM n)) AS lv, list_sum(v) / 5 / (SELECT n FROM n) AS s FROM fi WHERE list_sum(v) / 5 >= 0.1 * (SELECT n FROM n) - 1e-9)"""
+  fs AS (SELECT itemset, list_transform(v, lambda k: k / n) AS lv, list_sum(v) / 5 / n AS s FROM fi, n WHERE list_sum(v) / 5 >= 0.1 * n - 1e-9)"""
 
 
 @query(f"{_F} SELECT array_to_string(itemset, '|') AS itemset, len(itemset)::INT AS size, round(s, 6) AS support FROM fs")
@@ -782,8 +782,8 @@ def _next(spark):
     return spark.createDataFrame(_NEXT, "antecedents array<string>, consequents array<string>, confidence double")
 
 
-@query(f"""WITH {_E}, rn AS (SELECT * FROM (VALUES (['view'], 'click', 0.6), (['click'], 'purchase', 0.4), (['click', 'view'], 'purchase', 0.5)) t(a, c, conf)), done AS (SELECT fl.sid, a, c, conf, max(f) AS at, count(*) AS k FROM fl JOIN rn ON list_contains(a, fl.item) GROUP BY ALL),
-   w AS (SELECT done.sid, c, conf FROM done LEFT JOIN fl ON fl.sid = done.sid AND fl.item = c WHERE k = len(a) AND (fl.l IS NULL OR fl.l <= at)) SELECT sid, c AS item, max(conf) AS score FROM w GROUP BY ALL""")
+@query(f"""WITH {_E}, rn AS (SELECT * FROM (VALUES (['view'], 'click', 0.6), (['click'], 'purchase', 0.4), (['click', 'view'], 'purchase', 0.5)) t(a, c, conf)), done AS (SELECT fl.sid, a, c, conf, max(f) AS fin, count(*) AS k FROM fl JOIN rn ON list_contains(a, fl.item) GROUP BY ALL),
+   w AS (SELECT done.sid, c, conf FROM done LEFT JOIN fl ON fl.sid = done.sid AND fl.item = c WHERE k = len(a) AND (fl.l IS NULL OR fl.l <= fin)) SELECT sid, c AS item, max(conf) AS score FROM w GROUP BY ALL""")
 def next_events(spark, d):
     return action.predict_next_events(event_sequences(spark, d), _next(spark))
 
