@@ -360,10 +360,10 @@ def bootstrap_intervals(spark, d):
     return significance.confidence_intervals(r, n, method="bootstrap", n_resamples=200).select("antecedents", "consequents", "confidence_low", "confidence_high", "lift_low", "lift_high")
 
 
-@query(f"{_RANK} SELECT antecedents, consequents FROM (SELECT *, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM k) WHERE q <= 0.5")
+@query(f"{_RANK} SELECT antecedents, consequents FROM (SELECT *, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM k) WHERE least(1, q) <= 1.0")
 def significant_rules(spark, d):
     r, n = _pairs(spark, d)
-    return _text(significance.significant_rules(r, n, 0.5).select("antecedents", "consequents"), "antecedents", "consequents")
+    return _text(significance.significant_rules(r, n, 1.0).select("antecedents", "consequents"), "antecedents", "consequents")
 
 
 @query()
@@ -884,9 +884,9 @@ def primary_rules(spark, d):
 
 @query()
 def meta_rules_crisp(spark, d):
-    p = cut(_primary(spark, d).where("lift >= 1.0"))
-    few = p.orderBy(F.desc("lift"), "antecedents", "consequents", "l_returnflag").limit(12)
-    return _text(rules.crisp_meta_rules(few, "l_returnflag", 0.3, datasets=p.select("l_returnflag")), "antecedents", "consequents")
+    p = cut(_primary(spark, d))
+    one = p.where(F.col("antecedents")[0] == p.agg(F.min(F.col("antecedents")[0])).first()[0])
+    return _text(rules.crisp_meta_rules(one, "l_returnflag", 0.3, datasets=p.select("l_returnflag")), "antecedents", "consequents")
 
 
 @query()
