@@ -140,7 +140,8 @@ def sequential_veto_rules(sequences: DataFrame, min_supp: float, min_conf: float
     later = F.filter("items", lambda i: _at("lasts", i) > F.col("done"))
     broken = hit.select("antecedents", F.explode(later).alias("y")).groupBy("antecedents", "y").agg(F.count(F.lit(1)).alias("broken"))
     vocabulary = rows.select(F.explode("items").alias("y")).groupBy("y").agg(F.count(F.lit(1)).alias("with_y"))
-    pairs = found.select(F.col("itemset").alias("antecedents"), F.col("count").alias("with_x")).crossJoin(F.broadcast(vocabulary)).where(~F.array_contains("antecedents", F.col("y")))
+    # every item may be vetoed: the result has a row per antecedent and item; the antecedents are few, by their threshold
+    pairs = vocabulary.crossJoin(F.broadcast(found.select(F.col("itemset").alias("antecedents"), F.col("count").alias("with_x")))).where(~F.array_contains("antecedents", F.col("y")))
     valid = pairs.join(broken, ["antecedents", "y"], "left").withColumn("n", F.col("with_x") - F.coalesce("broken", F.lit(0))).where(F.col("n") >= I.min_count(min_supp, max(total, 1)))
     n = F.lit(max(total, 1))
     table = valid.select("antecedents", F.array("y").alias("consequents"), (F.col("with_x") / n).alias("antecedent_support"), ((n - F.col("with_y")) / n).alias("consequent_support"), (F.col("n") / n).alias("support")).where(F.col("support") / F.col("antecedent_support") >= min_conf - 1e-9)
