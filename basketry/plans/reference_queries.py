@@ -891,8 +891,7 @@ def meta_rules_crisp(spark, d):
 
 @query()
 def meta_rules_fuzzy(spark, d):
-    few = cut(_primary(spark, d)).orderBy(F.desc("lift"), "antecedents", "consequents", "l_returnflag").limit(12)
-    return _text(rules.fuzzy_meta_rules(few, "l_returnflag", 0.1, "confidence", True, 5), "antecedents", "consequents")
+    return _text(rules.fuzzy_meta_rules(cut(_primary(spark, d)), "l_returnflag", 0.1, "confidence", True, 5), "antecedents", "consequents")
 
 
 def _graph(spark, d):
