@@ -885,8 +885,7 @@ def primary_rules(spark, d):
 @query()
 def meta_rules_crisp(spark, d):
     p = cut(_primary(spark, d))
-    one = p.where(F.col("antecedents")[0] == p.agg(F.min(F.col("antecedents")[0])).first()[0])
-    return _text(rules.crisp_meta_rules(one, "l_returnflag", 0.3, datasets=p.select("l_returnflag")), "antecedents", "consequents")
+    return _text(rules.crisp_meta_rules(p, "l_returnflag", 0.3, datasets=p.select("l_returnflag")), "antecedents", "consequents")
 
 
 @query()

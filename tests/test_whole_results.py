@@ -67,3 +67,11 @@ def test_meta_rules_fuzzy(spark, meta_dir):
         if sum(ab) / 5 >= 0.1 and conf >= 0.8:
             want.add((a, c, round(sum(ab) / 5, 6), round(conf, 6)))
     assert want and sides(q.meta_rules_fuzzy(spark, meta_dir), "FSupp", "FConf") == want
+
+
+def test_meta_rules_crisp(spark, meta_dir):
+    degrees = primary()
+    assert len({rule[0] for rule in degrees}) > 1
+    share = lambda itemset: sum(all(flag in degrees[r] for r in itemset) for flag in META) / len(META)
+    want = {(a, c, round(share(a | c), 6), round(share(a | c) / share(a), 6)) for a, c in pairs(subsets(degrees)) if share(a | c) >= 0.3 and share(a | c) / share(a) >= 0.8}
+    assert want and sides(q.meta_rules_crisp(spark, meta_dir), "support", "confidence") == want
