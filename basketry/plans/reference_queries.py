@@ -254,7 +254,7 @@ def top_k_rules(spark, d):
    FROM split JOIN fi x ON x.itemset = a JOIN fi y ON y.itemset = c WHERE split.k / x.k >= 0.3""")
 def rare_rules(spark, d):
     out = rules.rare_rules(baskets(spark, d), 0.22, min_conf=0.3, max_antecedent=2, max_consequent=2)
-    return _rules_out(out.where(F.size("antecedents") + F.size("consequents") <= 3).select("antecedents", "consequents", "support", "confidence", "lift"))
+    return _rules_out(out.select("antecedents", "consequents", "support", "confidence", "lift"))
 
 
 @query(f"""WITH {B}, i AS (SELECT DISTINCT item FROM b), one AS (SELECT item, count(*) AS k FROM b GROUP BY item), pair AS (SELECT x.item AS p, y.item AS q, count(*) AS k FROM b x JOIN b y ON x.tid = y.tid AND x.item <> y.item GROUP BY ALL),
@@ -682,7 +682,6 @@ _LAG1 = f"""WITH {_H}, g AS (SELECT pos, item AS x FROM i UNION ALL SELECT pos +
 @query(f"""{_LAG1} SELECT a AS antecedents, c AS consequents, round(two.k / (SELECT n FROM m), 6) AS support, round(two.k / o.k, 6) AS confidence, 1 AS max_lag FROM two JOIN one o ON o.item = a WHERE a LIKE '%@lag1' AND c NOT LIKE '%@lag1' AND two.k >= ceil(0.05 * (SELECT n FROM m) - 1e-9) AND o.k >= ceil(0.05 * (SELECT n FROM m) - 1e-9) AND two.k / o.k >= 0.3""")
 def temporal_rules(spark, d):
     r = temporal.temporal_association_rules(hourly(spark, d), 1, 0.05, "confidence", 0.3)
-    r = r.where((F.size("antecedents") == 1) & (F.size("consequents") == 1))
     return _rules_out(r.select("antecedents", "consequents", "support", "confidence", "max_lag"), "max_lag")
 
 

@@ -1,6 +1,7 @@
 """Queries against brute force on small tables: nothing is left out."""
 
 import math
+from datetime import datetime, timedelta
 from itertools import combinations
 
 import pytest
@@ -75,3 +76,35 @@ def test_meta_rules_crisp(spark, meta_dir):
     share = lambda itemset: sum(all(flag in degrees[r] for r in itemset) for flag in META) / len(META)
     want = {(a, c, round(share(a | c), 6), round(share(a | c) / share(a), 6)) for a, c in pairs(subsets(degrees)) if share(a | c) >= 0.3 and share(a | c) / share(a) >= 0.8}
     assert want and sides(q.meta_rules_crisp(spark, meta_dir), "support", "confidence") == want
+
+
+#: Event types of each hour.
+HOURS = ["ab", "c", "abc", "bc", "a", "abc", "ac", "b", "abc", "bc", "ab", "abc"]
+
+
+def test_temporal_rules(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    spark.createDataFrame([(start + timedelta(hours=k), x) for k, h in enumerate(HOURS) for x in h], "ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    table = [frozenset(now) | {f"{x}@lag1" for x in before} for before, now in zip(HOURS, HOURS[1:])]
+    count = lambda itemset: sum(itemset <= row for row in table)
+    frequent = [x for x in subsets(frozenset().union(*table)) if count(x) >= math.ceil(0.05 * len(table) - 1e-9)]
+    lagged = lambda side: [x for x in side if "@" in x]
+    want = set()
+    for both in frequent:
+        for a in subsets(both):
+            c = both - a
+            if c and not lagged(c) and lagged(a) and count(both) / count(a) >= 0.3:
+                want.add((a, c, round(count(both) / len(table), 6), round(count(both) / count(a), 6), 1))
+    assert any(len(a | c) > 2 for a, c, *_ in want)
+    assert sides(q.temporal_rules(spark, str(tmp_path)), "support", "confidence", "max_lag") == want
+
+
+def test_rare_rules(spark, tmp_path):
+    # abcd is rare, all of its parts are frequent
+    baskets = ["abcd"] * 4 + ["abc", "abd", "acd", "bcd"] * 3 + ["e"] * 4
+    spark.createDataFrame([(k, ord(x)) for k, b in enumerate(baskets) for x in b], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(ord(x), x) for x in "abcde"], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    share = lambda itemset: sum(itemset <= set(b) for b in baskets) / len(baskets)
+    want = {(a, c, round(share(a | c), 6), round(share(a | c) / share(a), 6)) for a, c in pairs(subsets("abcd")) if len(a) == len(c) == 2 and len(a | c) == 4}
+    assert len(want) == 6 and all(conf >= 0.3 for *_, conf in want)
+    assert sides(q.rare_rules(spark, str(tmp_path)), "support", "confidence") == want
