@@ -451,13 +451,13 @@ def fuzzy_rules(spark, d):
 
 @query()
 def fuzzy_negative_rules(spark, d):
-    return _text(fuzzy.fuzzy_negative_association_rules(fuzzy_rows(spark, d), 0.15, 5, "FConf", 0.5, max_len=2), "antecedents", "consequents")
+    return _text(fuzzy.fuzzy_negative_association_rules(fuzzy_rows(spark, d), 0.15, 5, "FConf", 0.5), "antecedents", "consequents")
 
 
 @query()
 def fuzzy_rule_test(spark, d):
     rows = cut(fuzzy_rows(spark, d))
-    r = cut(rules.fuzzy_association_rules(cut(fuzzy.fuzzy_itemsets(rows, 0.15, 5, max_len=2)), "FConf", 0.3))
+    r = cut(rules.fuzzy_association_rules(cut(fuzzy.fuzzy_itemsets(rows, 0.15, 5)), "FConf", 0.3))
     return _text(significance.fuzzy_rule_significance(r, rows, 49), "antecedents", "consequents")
 
 
@@ -521,7 +521,7 @@ def generalized_rules(spark, d):
 @query()
 def interesting_rules(spark, d):
     tax, b = _tax(spark, d)
-    return _text(taxonomy.generalized_rules(b, tax, 0.05, "confidence", 0.2, 2, interest=1.05), "antecedents", "consequents")
+    return _text(taxonomy.generalized_rules(b, tax, 0.05, "confidence", 0.2, interest=1.05), "antecedents", "consequents")
 
 
 @query("""WITH q AS (SELECT quantile_cont(p_size, [0, 0.25, 0.5, 0.75, 1]) AS e, count(*) AS n FROM part), c AS (SELECT CASE WHEN p_size < e[2] THEN 1 WHEN p_size < e[3] THEN 2 WHEN p_size < e[4] THEN 3 ELSE 4 END AS k, count(*) AS c FROM part, q GROUP BY 1),
@@ -535,7 +535,7 @@ def interval_partition(spark, d):
 @query()
 def quantitative_rules(spark, d):
     table = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
-    return _text(quantitative.quantitative_rules(table, "p_partkey", 0.05, 4, 0.5, min_threshold=0.2, max_len=2), "antecedents", "consequents")
+    return _text(quantitative.quantitative_rules(table, "p_partkey", 0.05, 4, 0.5, min_threshold=0.2), "antecedents", "consequents")
 
 
 _GR = """WITH p AS (SELECT p_partkey AS i, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part), n AS (SELECT count(*) AS n FROM p), s AS (SELECT sign(b.x - a.x) AS u, sign(b.y - a.y) AS v, count(*) AS k FROM p a JOIN p b ON a.i < b.i GROUP BY ALL),
@@ -833,14 +833,14 @@ def class_rules(spark, d):
 @query()
 def cba_select(spark, d):
     c = cut(cases(spark, d))
-    r = cut(classify.class_association_rules(c, "status", 0.05, 0.3, 2))
+    r = cut(classify.class_association_rules(c, "status", 0.05, 0.3, None))
     return _text(classify.select_rules(r, c, "status")[0], "antecedents")
 
 
 @query()
 def cba_predict(spark, d):
     c = cut(cases(spark, d))
-    return classify.RuleClassifier(0.05, 0.3, 2).fit(c, "status").predict(c, "tid")
+    return classify.RuleClassifier(0.05, 0.3, None).fit(c, "status").predict(c, "tid")
 
 
 def _fuzzy_cases(spark, d):

@@ -108,3 +108,29 @@ def test_rare_rules(spark, tmp_path):
     want = {(a, c, round(share(a | c), 6), round(share(a | c) / share(a), 6)) for a, c in pairs(subsets("abcd")) if len(a) == len(c) == 2 and len(a | c) == 4}
     assert len(want) == 6 and all(conf >= 0.3 for *_, conf in want)
     assert sides(q.rare_rules(spark, str(tmp_path)), "support", "confidence") == want
+
+
+def test_interesting_rules(spark, tmp_path):
+    # regions have no kept ancestor, so all their rules stay
+    orders = ["abc"] * 3 + ["ab", "bc"]
+    spark.createDataFrame([(k, ord(x)) for k, o in enumerate(orders) for x in o], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for table, schema, row in (("supplier", "s_suppkey long, s_nationkey long", lambda x: (ord(x), ord(x))), ("nation", "n_nationkey long, n_name string, n_regionkey long", lambda x: (ord(x), x, ord(x))), ("region", "r_regionkey long, r_name string", lambda x: (ord(x), x.upper()))):
+        spark.createDataFrame([row(x) for x in "abc"], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    share = lambda itemset: sum(itemset <= set(o.upper()) for o in orders) / len(orders)
+    want = {(a, c, round(share(a | c), 6), round(share(a | c) / share(a), 6)) for a, c in pairs(subsets("ABC"))}
+    got = sides(q.interesting_rules(spark, str(tmp_path)), "support", "confidence")
+    assert {r for r in got if r[0] | r[1] <= set("ABC")} == want
+
+
+def test_fuzzy_negative_rules(spark, tmp_path):
+    # all degrees are 0 or 1
+    lines = [(5, 0), (5, 0), (25, 0), (25, 5), (45, 10), (45, 5)]
+    spark.createDataFrame([(k, k, float(q_), x / 100) for k, (q_, x) in enumerate(lines)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = [f"qty_{x}" for x in ("low", "medium", "high")] + [f"disc_{x}" for x in ("low", "medium", "high")]
+    held = [{names[[5, 25, 45].index(x)], names[3 + [0, 5, 10].index(y)]} for x, y in lines]
+    table = [h | {f"~{i}" for i in names if i not in h} for h in held]
+    share = lambda itemset: sum(itemset <= row for row in table) / len(table)
+    frequent = [x for x in subsets(frozenset().union(*table)) if len({i.strip("~") for i in x}) == len(x) and share(x) >= 0.15]
+    want = {(a, both - a, round(share(both), 6), round(share(both) / share(a), 6)) for both in frequent for a in subsets(both) if a != both and any(i[0] == "~" for i in both) and share(both) / share(a) >= 0.5}
+    assert any(len(a | c) > 2 for a, c, *_ in want)
+    assert sides(q.fuzzy_negative_rules(spark, str(tmp_path)), "FSupp", "FConf") == want
