@@ -106,13 +106,14 @@ def trim(links: DataFrame) -> DataFrame:
     return now
 
 
-def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
+def walk(start: DataFrame, links: DataFrame, paths: bool, every: bool = False) -> DataFrame:
     """``(item, root, depth[, path])`` for all walks down ``links``, which hang on no ring, from ``start``.
 
     ``start`` has ``item, root[, path]`` at depth 1. Of walks of equal length to the same item from the same
-    root one stays (that of the smallest path), of different lengths the longest.
+    root one stays (that of the smallest path), of different lengths the longest; with ``every`` all stay, each
+    with the depth of its own path.
     """
-    keep = ["item", "root"]
+    keep = ["item", "root", "path"] if every else ["item", "root"]
     frontier, levels, depth = start.withColumn("depth", F.lit(1).cast("bigint")), [], 1
     own, told = "n.item, n.root, n.depth", "l.child AS item, n.root, {depth} AS depth"
     if paths:
@@ -123,6 +124,10 @@ def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
             child = told.format(depth=f"{depth + 1}L")
             steps.append(f"""m{k} AS (SELECT /*+ REPARTITION(item) */ * FROM (SELECT /*+ MERGE(n) */ inline(CASE WHEN l.child IS NULL THEN array(struct({own})) ELSE array(struct({own}), struct({child})) END)
               FROM n{k} n LEFT JOIN {{links}} l ON n.item = l.parent AND n.depth = {depth}))""")
+            if every:
+                steps.append(f"n{k + 1} AS (SELECT item, root, max(depth) AS depth, path FROM m{k} GROUP BY item, root, path)")
+                depth += 1
+                continue
             # the longest way, of several the smallest
             steps.append(f"n{k + 1} AS (SELECT item, root, max(depth) AS depth" + (", max_by(path, depth) AS path FROM (SELECT item, root, depth, min(path) AS path FROM m" + f"{k} GROUP BY item, root, depth)" if paths else f" FROM m{k}") + " GROUP BY item, root)")
             depth += 1
@@ -131,10 +136,10 @@ def walk(start: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
         frontier = made.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-    every = reduce(DataFrame.unionByName, levels).groupBy(*keep)
-    if paths:
-        return every.agg(F.max("depth").alias("depth"), F.max_by("path", "depth").alias("path"))
-    return every.agg(F.max("depth").alias("depth"))
+    found = reduce(DataFrame.unionByName, levels).groupBy(*keep)
+    if paths and not every:
+        return found.agg(F.max("depth").alias("depth"), F.max_by("path", "depth").alias("path"))
+    return found.agg(F.max("depth").alias("depth"))
 
 
 def rings(links: DataFrame) -> DataFrame:
@@ -199,9 +204,11 @@ def reach(start: DataFrame, links: DataFrame, keys: list[str] | None = None) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True) -> DataFrame:
+def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True, every: bool = False) -> DataFrame:
     """``(item, root, depth bigint, on_ring boolean[, path array<string>])``: one row per item and root above it.
 
+    With ``every`` (and ``paths``) each way from the root is a row of its own; ``depth`` stays that of the longest.
+
     A root is an item without a parent (depth 1, its own row included); depth is 1 + the links of the longest
     way from the root, ``path`` that way (of several the smallest). For items on or below a ring (items that
     are each other's ancestors, or one that is its own parent) the smallest name of each such ring is a root
@@ -221,7 +228,10 @@ def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", pa
         roots = levels.where("level = 1").select("item", F.col("item").alias("root"))
         if paths:
             roots = roots.withColumn("path", F.array("item"))
-        above = cut(walk(cut(roots), clean, paths))
+        above = cut(walk(cut(roots), clean, paths, paths and every))
+        if paths and every:
+            longest = above.groupBy("item", "root").agg(F.max("depth").alias("depth"))
+            above = cut(above.drop("depth").join(_merge(longest), ["item", "root"]).select("item", "root", "depth", "path"))
         out = above.withColumn("on_ring", F.lit(False))
         if ringed:
             # from clean items straight into the ringed part, and from the rings themselves

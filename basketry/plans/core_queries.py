@@ -22,7 +22,7 @@ def p5_found(spark, sf_dir):
 
 
 def p5_paths(spark, sf_dir):
-    return hierarchy.hierarchy(_table(spark, sf_dir, "taxonomy"))
+    return hierarchy.hierarchy(_table(spark, sf_dir, "taxonomy"), every=True)
 
 
 def p5_descendants(spark, sf_dir):

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from basketry.plans import core_queries
 from basketry.plans import reference_queries as q
 
 #: Orders (their product types) of each return flag.
@@ -134,3 +135,19 @@ def test_fuzzy_negative_rules(spark, tmp_path):
     want = {(a, both - a, round(share(both), 6), round(share(both) / share(a), 6)) for both in frequent for a in subsets(both) if a != both and any(i[0] == "~" for i in both) and share(both) / share(a) >= 0.5}
     assert any(len(a | c) > 2 for a, c, *_ in want)
     assert sides(q.fuzzy_negative_rules(spark, str(tmp_path)), "FSupp", "FConf") == want
+
+
+def test_p5_paths(spark, tmp_path):
+    # eight steps, each by a short and a long way, and a second root; u and v are a ring below
+    links = [(f"n{k + 1}", f"n{k}") for k in range(4)] + [(f"m{k}", f"n{k}") for k in range(4)] + [(f"n{k + 1}", f"m{k}") for k in range(4)] + [("n2", "z"), ("u", "n4"), ("v", "u"), ("u", "v")]
+    spark.createDataFrame(links, "child string, parent string").write.parquet(f"{tmp_path}/taxonomy.parquet")
+    want, todo = set(), [("n0",), ("z",)]
+    while todo:
+        path = todo.pop()
+        want.add(path)
+        todo += [(*path, c) for c, p in links if p == path[-1] and c not in "uv"]
+    rows = core_queries.p5_paths(spark, str(tmp_path)).collect()
+    got = [tuple(r["path"]) for r in rows if r["path"]]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert all(r["depth"] == max(len(p) for p in want if (p[0], p[-1]) == (r["root"], r["item"])) for r in rows if r["path"])
+    assert {(r["item"], r["root"], r["depth"], r["on_ring"]) for r in rows if not r["path"]} == {(i, r, 0, True) for i in "uv" for r in ("n0", "z", "u")}
