@@ -20,7 +20,7 @@ def p1_found(spark, sf_dir):
 
 
 def p1_pairs(spark, sf_dir):
-    found = pairs.cooccurrence(_table(spark, sf_dir, "transactions"), min_count=5, min_share=0.001)
+    found = pairs.cooccurrence(_table(spark, sf_dir, "transactions"))
     return found.select("item_a", "item_b", "pair_count", "count_a", "count_b", "baskets", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
