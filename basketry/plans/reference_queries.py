@@ -921,7 +921,7 @@ def _stream(spark, d):
     b = cut(e.groupBy("day", "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("items")))
     days = sorted(r["day"] for r in b.select("day").distinct().collect())
     window = BatchWindow(0.2, 3)
-    for day in days[-5:]:
+    for day in days:
         window.add(b.where(F.col("day") == day).select("items"))
     return window
 
@@ -931,10 +931,10 @@ _ST = """b AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id || '/' || CAST(t
 
 @query(f"WITH {FI(0.2).replace(B, _ST)} {_FI_SQL}")
 def stream_window_itemsets(spark, d):
-    return _fi_out(_stream(spark, d).itemsets(spark).where("size <= 3"))
+    return _fi_out(_stream(spark, d).itemsets(spark))
 
 
 @query(f"WITH {RULES(0.2).replace(B, _ST)} SELECT antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence FROM m WHERE confidence >= 0.3")
 def stream_window_rules(spark, d):
     w = _stream(spark, d)
-    return _rules_out(rules.association_rules(w.itemsets(spark).where("size <= 3"), "confidence", 0.3).select("antecedents", "consequents", "support", "confidence"))
+    return _rules_out(rules.association_rules(w.itemsets(spark), "confidence", 0.3).select("antecedents", "consequents", "support", "confidence"))

@@ -160,3 +160,14 @@ def test_p1_pairs(spark, tmp_path):
     want = {(x, y, sum(x in b and y in b for b in baskets)) for x, y in combinations("abcd", 2) if any(x in b and y in b for b in baskets)}
     got = [(r["item_a"], r["item_b"], r["pair_count"]) for r in llm_queries.p1_pairs(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_stream_window(spark, tmp_path, monkeypatch):
+    added = []
+    add = q.BatchWindow.add
+    monkeypatch.setattr(q.BatchWindow, "add", lambda self, rows: (added.append(1), add(self, rows)))
+    start = datetime(2024, 1, 1)
+    spark.createDataFrame([(start + timedelta(days=k), u, x) for k in range(7) for u in (1, 2) for x in "abcd"], "ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["itemset"], r["count"]) for r in q.stream_window_itemsets(spark, str(tmp_path)).collect()}
+    assert len(added) == 7 and got == {("|".join(sorted(x)), 6) for x in subsets("abcd")}
+    assert {r[:2] for r in sides(q.stream_window_rules(spark, str(tmp_path)))} == set(pairs(subsets("abcd")))
