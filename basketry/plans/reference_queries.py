@@ -357,7 +357,7 @@ def wilson_intervals(spark, d):
 @query()
 def bootstrap_intervals(spark, d):
     r, n = _pairs(spark, d)
-    return significance.confidence_intervals(r, n, method="bootstrap", n_resamples=200).select("antecedents", "consequents", "confidence_low", "confidence_high", "lift_low", "lift_high")
+    return significance.confidence_intervals(r, n, method="bootstrap").select("antecedents", "consequents", "confidence_low", "confidence_high", "lift_low", "lift_high")
 
 
 @query(f"{_RANK} SELECT antecedents, consequents FROM (SELECT *, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM k) WHERE least(1, q) <= 1.0")
@@ -369,7 +369,7 @@ def significant_rules(spark, d):
 @query()
 def permutation_test(spark, d):
     rows = cut(hourly(spark, d))
-    null = significance.permutation_null(rows, temporal.crisp_rule_miner(0.05, "lift", 1.0, 2), "lift", 20)
+    null = significance.permutation_null(rows, temporal.crisp_rule_miner(0.05, "lift", 1.0, 2), "lift")
     r = rules.association_rules(itemsets.frequent_itemsets(rows, 0.05, 2), "lift", 1.0)
     return significance.permutation_p_values(r, null, "lift").select("antecedents", "consequents", "lift", "permutation_p")
 
@@ -458,7 +458,7 @@ def fuzzy_negative_rules(spark, d):
 def fuzzy_rule_test(spark, d):
     rows = cut(fuzzy_rows(spark, d))
     r = cut(rules.fuzzy_association_rules(cut(fuzzy.fuzzy_itemsets(rows, 0.15, 5)), "FConf", 0.3))
-    return _text(significance.fuzzy_rule_significance(r, rows, 49), "antecedents", "consequents")
+    return _text(significance.fuzzy_rule_significance(r, rows), "antecedents", "consequents")
 
 
 # -- taxonomy, ranges, gradual ---------------------------------------------------------------------
@@ -621,7 +621,7 @@ def fuzzy_sequential_rules(spark, d):
 def sequential_significance(spark, d):
     s = cut(event_sequences(spark, d))
     r = cut(sequences.sequential_rules(s, 0.05, 0.1, 1, 1))
-    return _text(sequences.sequential_rule_significance(s, r, 20).select("antecedents", "consequents", "p_value", "p_adjusted"), "antecedents", "consequents")
+    return _text(sequences.sequential_rule_significance(s, r).select("antecedents", "consequents", "p_value", "p_adjusted"), "antecedents", "consequents")
 
 
 # -- series, time, drift ---------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Queries against brute force on small tables: nothing is left out."""
 
+import inspect
 import math
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -7,6 +8,7 @@ from itertools import combinations
 import pytest
 
 from basketry.llm import queries as llm_queries
+from basketry.operators import sequences, significance
 from basketry.plans import core_queries
 from basketry.plans import reference_queries as q
 
@@ -171,3 +173,23 @@ def test_stream_window(spark, tmp_path, monkeypatch):
     got = {(r["itemset"], r["count"]) for r in q.stream_window_itemsets(spark, str(tmp_path)).collect()}
     assert len(added) == 7 and got == {("|".join(sorted(x)), 6) for x in subsets("abcd")}
     assert {r[:2] for r in sides(q.stream_window_rules(spark, str(tmp_path)))} == set(pairs(subsets("abcd")))
+
+
+def test_repetitions(spark, monkeypatch):
+    # the queries leave the repetitions to the operators
+    asked = {}
+
+    def watch(module, name, of):
+        def run(*args, **options):
+            asked[name] = inspect.signature(of).bind(*args, **options).arguments
+            raise StopIteration
+
+        monkeypatch.setattr(module, name, run)
+
+    for query, module, name in ((q.bootstrap_intervals, significance, "confidence_intervals"), (q.permutation_test, significance, "permutation_null"), (q.fuzzy_rule_test, significance, "fuzzy_rule_significance"), (q.sequential_significance, sequences, "sequential_rule_significance")):
+        watch(module, name, getattr(module, name))
+        with monkeypatch.context() as m:
+            m.setattr(q, "cut", lambda frame: frame)
+            with pytest.raises(StopIteration):
+                query(spark, "/root/testdata/sf0.001")
+        assert not {"n_resamples", "n_permutations"} & set(asked[name])
