@@ -1,16 +1,18 @@
 """Frequent itemsets in two passes: what is frequent somewhere is counted everywhere.
 
 The partition principle: an itemset that reaches a share of all transactions reaches it in at least one part of
-them. Pass 1 mines each chunk by itself on bit vectors (or vectors of degrees or utilities); pass 2 counts the
-union of what was found over all chunks and keeps what reaches the threshold exactly. Both passes only send sums of
-candidates to the shuffle, whatever the number of transactions. Groups (windows, classes, data sets, permutations)
-are mined side by side in the same two passes.
+them. Equal transactions are merged first where many are equal. The rows are dealt once into parts of near-equal
+size, none smaller than :data:`MIN_PART` rows unless its whole group is, so that little is frequent in a part by
+chance. Pass 1 mines each part on bit vectors (or vectors of degrees or utilities); pass 2 counts the union of what
+was found over all parts and keeps what reaches the threshold exactly. A group that is one part is exact after
+pass 1. Candidates are a table: tasks hold at most :data:`BLOCK` of them at a time, block after block. Both passes
+only send sums of candidates to the shuffle. Groups (windows, classes, data sets, permutations) are mined side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, cut_counted, discard
 
-CHUNK = 50_000
+#: Rows of a part: about CHUNK at most, MIN_PART at least where the cores want more parts than that gives.
+CHUNK, MIN_PART = 50_000, 10_000
+#: Candidates that a task holds at a time.
+BLOCK = 200_000
+#: Groups whose sizes are sent to every task; of more, they are joined by shuffle.
+SMALL_GROUPS = 100_000
 ONE = "-"
 
 
@@ -34,25 +41,75 @@ def check_share(share: float, name: str = "min_supp", zero: bool = False) -> Non
         raise ValueError(f"{name} must lie in {'[' if zero else '('}0, 1]")
 
 
+class _Chunk:
+    """Some transactions as columns: where each item stands, its values, and how often each transaction is there."""
+
+    def __init__(self, items: pa.Array, values: pa.Array | None = None, weights: np.ndarray | None = None) -> None:
+        offsets = items.offsets.to_numpy()
+        flat = items.values.slice(offsets[0], offsets[-1] - offsets[0])
+        self.n = len(items)
+        self.where = np.repeat(np.arange(self.n), np.diff(offsets))
+        coded = flat.dictionary_encode()
+        self.names = coded.dictionary.to_pylist()
+        self.code = coded.indices.to_numpy()
+        self.number = None
+        if values is not None:
+            at = values.offsets.to_numpy()
+            self.number = values.values.to_numpy()[at[0] : at[-1]]
+        self.weights = None if weights is None or (weights == 1).all() else weights.astype(float)
+        self.total = float(self.n if self.weights is None else self.weights.sum())
+        self.order = np.argsort(self.code, kind="stable")
+        self.bounds = np.searchsorted(self.code[self.order], np.arange(len(self.names) + 1))
+        self.place = {name: k for k, name in enumerate(self.names)}
+        self._worth: np.ndarray | None = None
+
+    def per_item(self, value: np.ndarray | None = None) -> np.ndarray:
+        """Sums over each item's rows of ``value`` (1 without), by code."""
+        if self.weights is not None:
+            value = self.weights[self.where] if value is None else value * self.weights[self.where]
+        return np.bincount(self.code, value, len(self.names)).astype(float)
+
+    @property
+    def worth(self) -> np.ndarray:
+        """Each transaction's sum of values."""
+        if self._worth is None:
+            self._worth = np.bincount(self.where, self.number, self.n)
+        return self._worth
+
+    def rows(self, name: str) -> np.ndarray:
+        k = self.place.get(name)
+        return np.zeros(0, np.int64) if k is None else self.order[self.bounds[k] : self.bounds[k + 1]]
+
+
 class Payload:
-    """What is kept of an item in a chunk, how two are joined, and what is summed of it."""
+    """What is kept of an item in a chunk, how two are joined, and what is summed of it: here, membership."""
 
     #: sums per itemset
     width = 1
 
-    def vectors(self, rows, values, n):  # one item's rows and values, and the number of rows
-        bits = np.zeros(n, bool)
-        bits[rows] = True
-        return np.packbits(np.pad(bits, (0, -n % 64))).view(np.uint64)
+    def vector(self, chunk: _Chunk, name: str):
+        bits = np.zeros(chunk.n, bool)
+        bits[chunk.where[chunk.rows(name)]] = True
+        return bits if chunk.weights is not None else np.packbits(np.pad(bits, (0, -chunk.n % 64))).view(np.uint64)
 
     def join(self, a, b):
         return a & b
 
-    def sums(self, v) -> np.ndarray:
-        return np.array([int(np.bitwise_count(v).sum())], float)
+    def sums(self, v, chunk: _Chunk) -> np.ndarray:
+        return np.array([float(np.bitwise_count(v).sum()) if chunk.weights is None else chunk.weights[v].sum()])
+
+    def bound(self, chunk: _Chunk) -> np.ndarray:
+        """Per item, what no itemset with it exceeds in the measure of :meth:`value`."""
+        return chunk.per_item()
 
-    def reaches(self, sums: np.ndarray, share: float, n: int, base: float) -> bool:
-        return sums[0] >= math.ceil(share * n - 1e-9)
+    def value(self, sums: np.ndarray) -> float:
+        return sums[0]
+
+    def base(self, chunk: _Chunk) -> float:
+        return chunk.total
+
+    def reaches(self, value, share, base):
+        return value >= np.ceil(share * base - 1e-9)
 
 
 class Degrees(Payload):
@@ -62,20 +119,23 @@ class Degrees(Payload):
         self.width = levels
         self.alphas = np.arange(1, levels + 1) / levels
 
-    def vectors(self, rows, values, n):
-        out = np.zeros(n)
-        out[rows] = values  # an item stands in a transaction once
+    def vector(self, chunk, name):
+        out, at = np.zeros(chunk.n), chunk.rows(name)
+        out[chunk.where[at]] = chunk.number[at]  # an item stands in a transaction once
         return out
 
     def join(self, a, b):
         return np.minimum(a, b)
 
-    def sums(self, v):
-        above = np.bincount(np.searchsorted(self.alphas, v, "right"), minlength=self.width + 1)[1:]
+    def sums(self, v, chunk):
+        above = np.bincount(np.searchsorted(self.alphas, v, "right"), chunk.weights, self.width + 1)[1:]
         return np.cumsum(above[::-1]).astype(float)
 
-    def reaches(self, sums, share, n, base):
-        return sums.sum() / self.width >= share * n - 1e-9
+    def value(self, sums):
+        return sums.sum() / self.width
+
+    def reaches(self, value, share, base):
+        return value >= share * base - 1e-9
 
 
 class Utilities(Payload):
@@ -83,96 +143,72 @@ class Utilities(Payload):
 
     width = 3
 
-    def __init__(self) -> None:
-        self.totals = None
-
-    def vectors(self, rows, values, n):
-        out = np.full(n, np.nan)
-        out[rows] = values
+    def vector(self, chunk, name):
+        out, at = np.full(chunk.n, np.nan), chunk.rows(name)
+        out[chunk.where[at]] = chunk.number[at]
         return out
 
     def join(self, a, b):
         return a + b
 
-    def sums(self, v):
-        there = ~np.isnan(v)
-        return np.array([v[there].sum(), self.totals[there].sum(), there.sum()])
+    def sums(self, v, chunk):
+        there = np.flatnonzero(~np.isnan(v))
+        w = 1.0 if chunk.weights is None else chunk.weights[there]
+        return np.array([(v[there] * w).sum(), (chunk.worth[there] * w).sum(), len(there) if chunk.weights is None else w.sum()])
 
-    def reaches(self, sums, share, n, base):
-        return sums[1] >= share * base - 1e-9 * max(1.0, abs(share * base))
+    def bound(self, chunk):
+        return chunk.per_item(chunk.worth[chunk.where])
 
+    def value(self, sums):
+        return sums[1]
 
-class _Chunk:
-    def __init__(self, items: pa.Array, values: pa.Array | None, payload: Payload) -> None:
-        offsets = items.offsets.to_numpy()
-        flat = items.values.slice(offsets[0], offsets[-1] - offsets[0])
-        self.n = len(items)
-        rows = np.repeat(np.arange(self.n), np.diff(offsets))
-        coded = flat.dictionary_encode()
-        self.names = coded.dictionary.to_pylist()
-        code = coded.indices.to_numpy()
-        number = None
-        if values is not None:
-            at = values.offsets.to_numpy()
-            number = values.values.to_numpy()[at[0] : at[-1]]
-        self.base = float(self.n)
-        if isinstance(payload, Utilities):
-            payload.totals = np.bincount(rows, number, self.n)
-            self.base = float(payload.totals.sum())
-        order = np.argsort(code, kind="stable")
-        bounds = np.searchsorted(code[order], np.arange(len(self.names) + 1))
-        self.rows = {name: order[bounds[k] : bounds[k + 1]] for k, name in enumerate(self.names)}
-        self.where, self.number, self.payload = rows, number, payload
-
-    def vector(self, name: str):
-        at = self.rows.get(name)
-        if at is None:
-            at = np.zeros(0, np.int64)
-        return self.payload.vectors(self.where[at], None if self.number is None else self.number[at], self.n)
-
-
-def _mine(chunk: _Chunk, share: float, max_len: int | None, item_share: dict[str, float], forbid: dict[str, set]) -> Iterator[tuple[str, ...]]:
-    """Itemsets that reach their threshold within a chunk, depth first."""
-    payload = chunk.payload
+    def base(self, chunk):
+        return float((chunk.worth if chunk.weights is None else chunk.worth * chunk.weights).sum())
+
+    def reaches(self, value, share, base):
+        return value >= share * base - 1e-9 * max(1.0, abs(share * base))
+
+
+def _mine(chunk: _Chunk, payload: Payload, share: float, max_len: int | None, item_share: dict[str, float], forbid: dict[str, set]) -> Iterator[tuple[tuple[str, ...], np.ndarray]]:
+    """Itemsets that reach their threshold within a chunk, and their sums, depth first."""
+    base = payload.base(chunk)
 
     def good(sums, items) -> bool:
         least = max([item_share.get(i, share) for i in items]) if item_share else share
-        return payload.reaches(sums, least, chunk.n, chunk.base)
+        return payload.reaches(payload.value(sums), least, base)
 
-    # items of one transaction never reach a count of two: cheap test before vectors are made
+    # a cheap bound before vectors are made: most items of a large vocabulary end here
+    shares = np.array([item_share.get(i, share) for i in chunk.names]) if item_share else share
     first = []
-    for name in sorted(chunk.names):
-        vector = chunk.vector(name)
-        if good(payload.sums(vector), (name,)):
-            first.append((name, vector))
+    for name in sorted(chunk.names[k] for k in np.flatnonzero(payload.bound(chunk) >= shares * base * (1 - 1e-9) - 1e-9)):
+        vector = payload.vector(chunk, name)
+        sums = payload.sums(vector, chunk)
+        if good(sums, (name,)):
+            first.append((name, vector, sums, vector))
     stack = [((), first)]
     while stack:
         prefix, tail = stack.pop()
-        for k, (name, vector) in enumerate(tail):
+        for k, (name, vector, sums, _) in enumerate(tail):
             itemset = (*prefix, name)
-            yield itemset
+            yield itemset, sums
             if max_len is not None and len(itemset) >= max_len:
                 continue
             longer = []
             barred = forbid.get(name, ())
-            for other, that in tail[k + 1 :]:
+            for other, _, _, own in tail[k + 1 :]:
                 if other in barred:
                     continue
-                both = payload.join(vector, that) if not isinstance(payload, Utilities) else _utility_join(vector, that, chunk, other)
-                if good(payload.sums(both), (*itemset, other)):
-                    longer.append((other, both))
+                both = payload.join(vector, own)
+                sums = payload.sums(both, chunk)
+                if good(sums, (*itemset, other)):
+                    longer.append((other, both, sums, own))
             if longer:
                 stack.append((itemset, longer))
 
 
-def _utility_join(vector, that, chunk, other):
-    # ``that`` already holds the prefix; only the other item's own utility is added
-    return vector + chunk.vector(other)
-
-
-def _sums(chunk: _Chunk, itemsets: Sequence[tuple[str, ...]]) -> np.ndarray:
+def _sums(chunk: _Chunk, payload: Payload, itemsets: Sequence[tuple[str, ...]]) -> np.ndarray:
     """Exact sums of sorted itemsets, vectors of common beginnings made once."""
-    out = np.zeros((len(itemsets), chunk.payload.width))
+    out = np.zeros((len(itemsets), payload.width))
     path: list[tuple[str, object]] = []
     cache: dict[str, object] = {}
     for k, itemset in enumerate(itemsets):
@@ -182,36 +218,69 @@ def _sums(chunk: _Chunk, itemsets: Sequence[tuple[str, ...]]) -> np.ndarray:
         del path[same:]
         for name in itemset[same:]:
             if name not in cache:
-                cache[name] = chunk.vector(name)
-            path.append((name, chunk.payload.join(path[-1][1], cache[name]) if path else cache[name]))
-        out[k] = chunk.payload.sums(path[-1][1])
+                cache[name] = payload.vector(chunk, name)
+            path.append((name, payload.join(path[-1][1], cache[name]) if path else cache[name]))
+        out[k] = payload.sums(path[-1][1], chunk)
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], payload: Payload, size: int) -> Iterator[tuple[str, _Chunk]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Chunk]]:
+    """``(group, part)`` from rows ``(g, part, items[, values], w)`` that stand part after part."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    last = None
 
     def flush():
-        table = pa.Table.from_batches(held).combine_chunks()
-        groups = table.column(0).combine_chunks().dictionary_encode()
-        codes = groups.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
-        bounds = np.searchsorted(codes[order], np.arange(len(groups.dictionary) + 1))
-        for k, name in enumerate(groups.dictionary.to_pylist()):
-            part = table if len(groups.dictionary) == 1 else table.take(pa.array(order[bounds[k] : bounds[k + 1]]))
-            columns = [part.column(c).combine_chunks() for c in range(1, part.num_columns)]
-            yield name, _Chunk(columns[0], columns[1] if len(columns) > 1 else None, payload)
+        table = pa.Table.from_batches(held)
+        column = lambda name: table.column(name).combine_chunks()
+        return last[0], _Chunk(column("items"), column("values") if "values" in table.column_names else None, column("w").to_numpy())
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= size:
-            yield from flush()
-            held, rows = [], 0
+        if not batch.num_rows:
+            continue
+        group, part = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+        turns = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+        for a, b in zip([0, *turns], [*turns, batch.num_rows]):
+            key = (batch.column(0)[int(a)].as_py(), int(part[a]))
+            if held and key != last:
+                yield flush()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
     if held:
-        yield from flush()
+        yield flush()
+
+
+def _sized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Chunk]:
+    """Chunks of some ``size`` rows from rows of items; for counting, where the rest may be short."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            yield _Chunk(pa.Table.from_batches(held).column(0).combine_chunks())
+            held = []
+    if sum(b.num_rows for b in held):
+        yield _Chunk(pa.Table.from_batches(held).column(0).combine_chunks())
+
+
+def _batch(group: str, itemsets: Sequence[tuple[str, ...]], sums: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(itemsets)), pa.array(itemsets, pa.list_(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=["g", "itemset", "sums"])
+
+
+_FOUND = "g string, itemset array<string>, sums array<double>"
+
+
+def _blocks(candidates: DataFrame, count: int) -> Iterator[dict[str, list[tuple[str, ...]]]]:
+    """A table of ``count`` distinct (g, itemset), in blocks of about BLOCK rows, each by group and sorted."""
+    blocks = max(1, math.ceil(count / BLOCK))
+    for b in range(blocks):
+        part = candidates if blocks == 1 else candidates.where(F.pmod(F.xxhash64("g", "itemset"), F.lit(blocks)) == b)
+        held: dict[str, list[tuple[str, ...]]] = {}
+        for row in part.select("g", "itemset").toLocalIterator():
+            held.setdefault(row["g"], []).append(tuple(row["itemset"]))
+        for found in held.values():
+            found.sort()
+        yield held
 
 
 def mine(
@@ -225,7 +294,7 @@ def mine(
     item_share: dict[str, float] | None = None,
     forbid: dict[str, set] | None = None,
     chunk: int = CHUNK,
-    keep: Callable[[DataFrame], DataFrame] | None = None,
+    least_part: int = MIN_PART,
 ) -> DataFrame:
     """``([group,] itemset, size, sums array<double>, n)`` of the itemsets that reach ``min_supp``.
 
@@ -234,51 +303,75 @@ def mine(
     """
     payload = payload or Payload()
     forbid, item_share = forbid or {}, item_share or {}
-    columns = [F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit(ONE), F.coalesce(F.col(items), F.array().cast("array<string>"))]
+    listed = F.coalesce(F.col(items), F.array().cast("array<string>"))
+    columns = {"g": F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit(ONE), "items": listed if values else F.array_sort(listed)}
     if values:
-        columns.append(F.coalesce(F.col(values), F.array().cast("array<double>")))
-    names = ["g", "items", "values"][: len(columns)]
-    rows = cut(frame.select(*[c.alias(n) for c, n in zip(columns, names)]))
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).alias("base") if values else F.lit(0.0).alias("base"))
+        columns["values"] = F.coalesce(F.col(values), F.array().cast("array<double>"))
+    rows = stored = cut(frame.select(*[c.alias(n) for n, c in columns.items()]))
+    content = list(columns)[1:]
+    worth = F.sum(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)) if values else F.lit(0.0)
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), worth.alias("base"), F.approx_count_distinct(F.xxhash64(*content)).alias("d"))
+    cores = frame.sparkSession.sparkContext.defaultParallelism
     sizes = cut(sizes)
-    extent = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("groups")).first()
-    schema = T._parse_datatype_string("g string, itemset array<string>, size int, sums array<double>, n bigint")
+    extent = sizes.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("groups")).first()
     if not extent["n"]:
-        out = frame.sparkSession.createDataFrame([], schema)
+        out = frame.sparkSession.createDataFrame([], T._parse_datatype_string("g string, itemset array<string>, size int, sums array<double>, n bigint"))
         return out.drop("g") if not group else out.withColumnRenamed("g", group)
-    # chunks as large as they may be, so that few itemsets are frequent by chance; a large group is spread
-    cores = frame.sparkSession.sparkContext.defaultParallelism
+    # merge equal transactions where that halves them at least
+    merged = 2 * extent["d"] < extent["n"]
+    if merged:
+        rows, mark = rows.groupBy("g", *content).agg(F.count(F.lit(1)).alias("w")), F.xxhash64(*content)
+    else:
+        rows, mark = rows.withColumn("w", F.lit(1).cast("bigint")), F.xxhash64(F.monotonically_increasing_id())
+    have = F.col("d" if merged else "n")
+    wanted = F.greatest(F.lit(1), F.least(F.floor(have / min(least_part, chunk)), F.greatest(F.lit(math.ceil(cores / extent["groups"])), F.floor(have / chunk)))).cast("int")
+    sizes = sizes.withColumn("parts", wanted)
+    total = sizes.agg(F.sum("parts")).first()[0]
     if group:
-        salt = F.floor(F.rand(5) * math.ceil(extent["most"] / chunk))
-        parts = rows.repartition(max(1, min(4 * cores, math.ceil(extent["n"] / 2_000), 4 * extent["groups"])), "g", salt)
+        side = sizes.select("g", "parts")
+        rows = rows.join(F.broadcast(side) if extent["groups"] <= SMALL_GROUPS else side, "g").withColumn("part", F.pmod(mark, "parts").cast("int"))
+        tasks = max(1, min(total, max(2 * cores, math.ceil(extent["d" if merged else "n"] / chunk))))
+        rows = rows.repartitionById(tasks, F.pmod(F.xxhash64("g") + F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("g", "part")
     else:
-        parts = rows.repartition(max(1, min(math.ceil(extent["n"] / 10_000), max(cores, math.ceil(extent["n"] / chunk)))))
+        rows = rows.withColumn("part", F.pmod(mark, F.lit(total)).cast("int")).repartitionById(total, F.col("part"))
+    rows = rows.select("g", "part", *content, "w")
+    single = total == extent["groups"]
+    if not single:
+        rows = cut(rows, whole_files=True)
 
     def first(batches):
-        for name, one in _chunks(batches, payload, chunk):
-            found = list(_mine(one, min_supp, max_len, item_share, forbid))
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.list_(pa.string()))], names=["g", "itemset"])
-
-    candidates: dict[str, list[tuple[str, ...]]] = {}
-    for row in parts.mapInArrow(first, "g string, itemset array<string>").distinct().collect():
-        candidates.setdefault(row["g"], []).append(tuple(row["itemset"]))
-    for found in candidates.values():
-        found.sort()
-
-    def second(batches):
-        for name, one in _chunks(batches, payload, chunk):
-            wanted = candidates.get(name, [])
-            if wanted:
-                sums = _sums(one, wanted)
-                hit = np.flatnonzero(sums.any(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(hit) * payload.width + 1, payload.width, dtype=np.int32)), pa.array(sums[hit].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit)), pa.array([wanted[k] for k in hit], pa.list_(pa.string())), lists], names=["g", "itemset", "sums"])
-
-    partial = parts.mapInArrow(second, "g string, itemset array<string>, sums array<double>")
-    summed = partial.groupBy("g", "itemset").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(payload.width)]).alias("sums"))
-    full = summed.join(F.broadcast(sizes), "g").withColumn("size", F.size("itemset"))
+        for name, one in _parts(batches):
+            held, sums = [], []
+            for itemset, s in _mine(one, payload, min_supp, max_len, item_share, forbid):
+                held.append(itemset)
+                sums.append(s)
+                if len(held) == 50_000:
+                    yield _batch(name, held, np.array(sums))
+                    held, sums = [], []
+            if held:
+                yield _batch(name, held, np.array(sums))
+
+    found = rows.mapInArrow(first, _FOUND)
+    if not single:
+        candidates, count = cut_counted(found.select("g", "itemset").distinct())
+        counted = []
+        for held in _blocks(candidates, count):
+
+            def second(batches, held=held):
+                for name, one in _parts(batches):
+                    wanted = held.get(name, [])
+                    if wanted:
+                        sums = _sums(one, payload, wanted)
+                        hit = np.flatnonzero(sums.any(1))
+                        yield _batch(name, [wanted[k] for k in hit], sums[hit])
+
+            part = rows.mapInArrow(second, _FOUND).groupBy("g", "itemset").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(payload.width)]).alias("sums"))
+            counted.append(part if count <= BLOCK else cut(part))
+        found = counted[0]
+        for part in counted[1:]:
+            found = found.unionByName(part)
+    side = sizes.select("g", "n", "base")
+    full = found.join(F.broadcast(side) if extent["groups"] <= SMALL_GROUPS else side, "g").withColumn("size", F.size("itemset"))
     least = F.lit(float(min_supp))
     if item_share:
         table = F.create_map(*[x for k, v in item_share.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -290,6 +383,8 @@ def mine(
     else:
         good = F.col("sums")[0] >= F.ceil(least * F.col("n") - 1e-9)
     out = cut(full.where(good).select("g", "itemset", "size", "sums", "n"))
+    for table in [stored, *([] if single else [rows, candidates])]:
+        discard(table)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
@@ -326,33 +421,39 @@ def fpgrowth(baskets: DataFrame, min_supp: float, items: str = "items") -> DataF
     return model.freqItemsets.select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"), F.col("freq").alias("count"), (F.col("freq") / total).alias("support"))
 
 
+def join_candidates(frequent: DataFrame) -> DataFrame:
+    """``(itemset)`` one longer than those of ``frequent``, all of one size: two that agree in all but the last
+    item are joined, and a candidate stays if every subset one shorter is frequent."""
+    head = F.slice("itemset", 1, F.size("itemset") - 1)
+    a = frequent.select(head.alias("head"), "itemset")
+    b = frequent.select(head.alias("head"), F.element_at("itemset", -1).alias("last"))
+    joined = a.join(b, "head").where(F.col("last") > F.element_at("itemset", -1)).select(F.concat("itemset", F.array("last")).alias("itemset"))
+    there = _subsets(joined).join(frequent.select(F.col("itemset").alias("subset")), "subset", "left_semi")
+    return there.groupBy("itemset").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.size("itemset")).select("itemset")
+
+
 def apriori(long: DataFrame, min_supp: float, total: int, tid: str = "tid", item: str = "item", max_len: int | None = None, drop_rare: bool = True) -> DataFrame:
-    """The same result level by level on the long layout, all in the JVM.
+    """The same result level by level: frequent itemsets are joined to candidates, and those counted over the baskets.
 
-    A level joins each transaction's frequent itemsets of the last one on all but their last item; infrequent
-    ones leave before the join (``drop_rare`` drops infrequent items first, as the variant with transaction
-    lists does). For short baskets; its rows grow with the number of itemsets per basket.
+    The baskets are stored once (``drop_rare`` leaves infrequent items out of them, as the variant with
+    transaction lists does); a level is one pass over them, in which only the candidates' counts are shuffled.
     """
     check_share(min_supp)
     least = min_count(min_supp, total)
-    rows = long.where(F.col(item).isNotNull()).select(F.col(tid).alias("tid"), F.array(item).alias("itemset")).distinct()
-    levels, state, size = [], rows, 1
-    while True:
-        counted = cut(state.groupBy("itemset").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least))
-        frequent = counted.count()
-        if not frequent:
-            break
-        levels.append(counted)
+    rows = long.where(F.col(item).isNotNull()).select(F.col(tid).alias("tid"), F.col(item).alias("item"))
+    if drop_rare:  # rows need not be distinct yet: an item with too few rows has too few baskets
+        often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("item")
+        rows = rows.join(often, "item", "left_semi")
+    baskets = cut(to_baskets(rows).select("items"))
+    level, frequent = cut_counted(baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least).select(F.array("item").alias("itemset"), "count"))
+    levels, size = [], 1
+    while frequent:
+        levels.append(level)
         if max_len is not None and size >= max_len:
             break
-        side = counted.select("itemset")
-        if drop_rare or size > 1:
-            state = cut(state.join(F.broadcast(side) if frequent <= 100_000 else side, "itemset", "left_semi"))
-        head = F.slice("itemset", 1, size - 1) if size > 1 else F.array().cast("array<string>")
-        a = state.select("tid", head.alias("head"), F.col("itemset"))
-        b = state.select("tid", head.alias("head"), F.element_at("itemset", -1).alias("last"))
-        state = a.join(b, ["tid", "head"]).where(F.col("last") > F.element_at("itemset", -1)).select("tid", F.concat("itemset", F.array("last")).alias("itemset"))
+        level, frequent = cut_counted(count_table(baskets, join_candidates(level)).where(F.col("count") >= least))
         size += 1
+    discard(baskets)
     if not levels:
         return long.sparkSession.createDataFrame([], "itemset array<string>, size int, count bigint, support double")
     out = levels[0]
@@ -450,14 +551,7 @@ def minimal_rare_itemsets(baskets: DataFrame, max_supp: float, min_supp: float =
     clean = cut(baskets.select(F.array_distinct(F.array_compact(F.coalesce(F.col(items), F.array().cast("array<string>")))).alias("items")))
     found = frequent_itemsets(clean, max_supp, None if max_len is None else max(1, max_len - 1))
     singles = clean.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") < frequent_count)
-    head = F.slice("itemset", 1, F.size("itemset") - 1)
-    a = found.select(head.alias("head"), "itemset")
-    b = found.select(head.alias("head"), F.element_at("itemset", -1).alias("last"))
-    joined = a.join(b, "head").where(F.col("last") > F.element_at("itemset", -1)).select(F.concat("itemset", F.array("last")).alias("itemset"))
-    new = joined.join(found, "itemset", "left_anti")
-    there = _subsets(new).join(found.select(F.col("itemset").alias("subset")), "subset", "left_semi").groupBy("itemset").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.size("itemset"))
-    wanted = sorted(tuple(r["itemset"]) for r in there.select("itemset").collect())
-    pairs = count_itemsets(clean, wanted).where(F.col("count") < frequent_count)
+    pairs = count_table(clean, join_candidates(found).join(found, "itemset", "left_anti")).where(F.col("count") < frequent_count)
     single = singles.select(F.array("item").alias("itemset"), "count")
     out = single.unionByName(pairs).where((F.col("count") >= least) & (F.size("itemset") >= min_len))
     if max_len is not None:
@@ -465,20 +559,37 @@ def minimal_rare_itemsets(baskets: DataFrame, max_supp: float, min_supp: float =
     return out.select("itemset", F.size("itemset").alias("size"), "count", (F.col("count") / F.lit(total)).alias("support"))
 
 
-def count_itemsets(baskets: DataFrame, wanted: Sequence[tuple[str, ...]], items: str = "items") -> DataFrame:
-    """``(itemset, count)`` of given itemsets over baskets of distinct items, zero counts left out."""
-    wanted = sorted(wanted)
+def count_table(baskets: DataFrame, wanted: DataFrame, items: str = "items") -> DataFrame:
+    """``(itemset, count)`` of the distinct itemsets of a table over baskets of distinct items, zero counts left out.
+
+    Tasks hold a block of the itemsets at a time; each block is one pass over the baskets.
+    """
+    table, count = cut_counted(wanted.select(F.lit(ONE).alias("g"), F.array_sort("itemset").alias("itemset")).distinct())
+    rows = baskets.select(F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items"))
+    out = None
+    for held in _blocks(table, count):
+        part = _counts(rows, held.get(ONE, []))
+        part = part if count <= BLOCK else cut(part)
+        out = part if out is None else out.unionByName(part)
+    discard(table)
+    return out
 
+
+def _counts(rows: DataFrame, wanted: Sequence[tuple[str, ...]]) -> DataFrame:
     def run(batches):
-        for _, one in _chunks(batches, Payload(), CHUNK):
-            sums = _sums(one, wanted)[:, 0].astype(np.int64) if wanted else np.zeros(0, np.int64)
+        for one in _sized(batches, CHUNK):
+            sums = _sums(one, Payload(), wanted)[:, 0].astype(np.int64) if wanted else np.zeros(0, np.int64)
             hit = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([wanted[k] for k in hit], pa.list_(pa.string())), pa.array(sums[hit])], names=["itemset", "count"])
 
-    rows = baskets.select(F.lit(ONE).alias("g"), F.col(items).alias("items"))
     return rows.mapInArrow(run, "itemset array<string>, count bigint").groupBy("itemset").agg(F.sum("count").alias("count"))
 
 
+def count_itemsets(baskets: DataFrame, wanted: Sequence[tuple[str, ...]], items: str = "items") -> DataFrame:
+    """``(itemset, count)`` of a few given itemsets over baskets of distinct items, zero counts left out."""
+    return _counts(baskets.select(F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items")), sorted(wanted))
+
+
 def utility_table(quantities: DataFrame, profits: DataFrame | None = None, tid: str = "tid", item: str = "item", qty: str = "qty", profit: str = "profit") -> DataFrame:
     """``(tid, item, utility)``: quantity times profit (1 without profits), nulls as 0, zero rows dropped.
 
@@ -517,8 +628,5 @@ class Mean(Degrees):
     def join(self, a, b):
         return np.minimum(a, b) if self.tnorm == "min" else a * b
 
-    def sums(self, v):
-        return np.array([v.sum()])
-
-    def reaches(self, sums, share, n, base):
-        return sums[0] >= share * n - 1e-9
+    def sums(self, v, chunk):
+        return np.array([v.sum() if chunk.weights is None else v @ chunk.weights])

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, set[str]] = {}
 
 
 def local_session(name: str = "basketry", cores: str = "8", **conf: str) -> SparkSession:
@@ -49,27 +51,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def cut(frame: DataFrame) -> DataFrame:
+def cut(frame: DataFrame, whole_files: bool = False) -> DataFrame:
     """Write ``frame`` as a table in the shared scratch folder and read it back.
 
     Cuts the lineage: the result no longer depends on shuffle files of executors that may be lost,
-    and unlike a checkpoint of rows it is columnar and compressed.
+    and unlike a checkpoint of rows it is columnar and compressed. With ``whole_files`` no file has a second
+    row group (below 1 GB), so that a part's rows are read by one task.
     """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/basketry-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    writer = frame.write.option("compression", "zstd")
+    if whole_files:
+        writer = writer.option("parquet.block.size", str(1 << 30))
+    writer.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table._basketry_path = path
     return table
 
 
+def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows, counted as they are written."""
+    seen = Observation()
+    table = cut(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that still read them end with it."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table made by :func:`cut` that nothing reads any more."""
     path = getattr(table, "_basketry_path", None)
     if path:
-        spark = table.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(table.sparkSession, path)
+        _MADE.get(table.sparkSession.sparkContext.applicationId, set()).discard(path)
 
 
 def bytes_of(frame: DataFrame) -> int:
