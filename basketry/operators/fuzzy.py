@@ -19,7 +19,10 @@ def _degrees(frame: DataFrame, items: str, degrees: str) -> DataFrame:
     table = frame.withColumn("_sorted", F.array_sort(good))
     # sorted by item and degree, the last of equal items has the largest degree
     table = table.withColumn("_top", F.filter("_sorted", lambda x, k: (k == F.size("_sorted") - 1) | (F.get("_sorted", k + 1)["i"] != x["i"])))
-    return table.select(*[c for c in frame.columns if c not in (items, degrees)], F.col("_top.i").alias(items), F.col("_top.d").alias(degrees))
+    # most rows have nothing to mend and skip the steps above
+    plain = (F.size(items) == F.size(degrees)) & (F.size(F.array_distinct(items)) == F.size(items)) & (F.size(F.array_compact(items)) == F.size(items)) & (F.size(F.array_compact(degrees)) == F.size(degrees)) & (F.array_min(degrees) > 0) & (F.array_max(degrees) <= 1)
+    mended = F.when(plain, F.struct(F.col(items).alias("i"), F.col(degrees).alias("d"))).otherwise(F.struct(F.col("_top.i").alias("i"), F.col("_top.d").alias("d")))
+    return table.select(*[c for c in frame.columns if c not in (items, degrees)], mended.alias("_s")).select(*[c for c in frame.columns if c not in (items, degrees)], F.col("_s.i").alias(items), F.col("_s.d").alias(degrees))
 
 
 def fuzzy_itemsets(frame: DataFrame, min_supp: float, num_alpha: int = 10, items: str = "items", degrees: str = "degrees", group: str | None = None, max_len: int | None = None) -> DataFrame:

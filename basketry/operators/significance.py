@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -16,38 +17,57 @@ from ..session import cut
 
 
 def _counts(n: int) -> tuple[Column, Column, Column]:
-    whole = lambda c: F.round(F.col(c) * n).cast("bigint")
-    return whole("support"), whole("antecedent_support"), whole("consequent_support")
+    """Whole counts of both sides together, antecedents and consequents; supports that are no multiples of 1/n,
+    or counts that ``n`` transactions cannot have, are an error."""
+    names = ("support", "antecedent_support", "consequent_support")
+    scaled = [F.col(c) * F.lit(float(n)) for c in names]
+    ac, a, c = [F.round(x) for x in scaled]
+    broken = reduce(lambda x, y: x | y, [F.abs(x - F.round(x)) > 1e-3 for x in scaled])
+    broken = broken | (ac > F.least(a, c)) | (F.greatest(a, c) > n) | (ac < a + c - n)
+    fail = F.raise_error(F.lit(f"the supports do not belong to {n} transactions")).cast("double")
+    return tuple(F.when(broken, fail).otherwise(x).cast("bigint") for x in (ac, a, c))
+
+
+def _tails(n_ac: int, n_a: int, n_c: int, n: int) -> tuple[float, float]:
+    """P(X >= n_ac) and P(X <= n_ac) of the hypergeometric law with these margins.
+
+    Terms relative to each other within some fourteen deviations of the mode, divided by their sum: work and
+    memory grow with the root of the counts. Further out, the tail starts from one term by log-gamma.
+    """
+    low, high = max(0, n_a + n_c - n), min(n_a, n_c)
+    mode = min(max((n_a + 1) * (n_c + 1) // (n + 2), low), high)
+    reach = 60 + int(14 * math.sqrt(n_a * (n_c / n) * ((n - n_a) / max(n - 1, 1)) * (n - n_c)))
+
+    def relative(first: int, last: int) -> np.ndarray:  # log p(k) - log p(first)
+        k = np.arange(first, last, dtype=float)
+        return np.concatenate([[0.0], np.cumsum(np.log((n_a - k) / (k + 1)) + np.log((n_c - k) / (n - n_a - n_c + k + 1)))])
+
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    body = relative(first, last)
+    top = body.max()
+    terms = np.exp(body - top)
+    if first <= n_ac <= last:
+        at = n_ac - first
+        return float(terms[at:].sum() / terms.sum()), float(terms[: at + 1].sum() / terms.sum())
+    if n_ac < first:  # what is not among the consequents counts the other way round
+        return _tails(n_a - n_ac, n_a, n - n_c, n)[::-1]
+    log_p = lambda k: -sum(math.lgamma(x + 1) for x in (k, n_a - k, n_c - k, n - n_a - n_c + k))
+    out = math.exp(max(log_p(n_ac) - log_p(last) + body[-1] - top, -745.0)) * np.exp(relative(n_ac, min(high, n_ac + reach))).sum() / terms.sum()
+    return min(1.0, float(out)), 1.0
 
 
 def fisher_tail(n_ac: int, n_a: int, n_c: int, n: int, alternative: str = "greater") -> float:
     """P-value of the hypergeometric test; two-sided doubles the smaller tail."""
-    low, high = max(0, n_a + n_c - n), min(n_a, n_c)
-    k = np.arange(low, high + 1)
-    if not len(k):
-        return 1.0
-    fact = _log_factorials(n)
-    log = fact[n_a] - fact[k] - fact[n_a - k] + fact[n - n_a] - fact[n_c - k] - fact[n - n_a - n_c + k] - (fact[n] - fact[n_c] - fact[n - n_c]) if n <= 5_000_000 else None
-    if log is None:
-        g = math.lgamma
-        log = np.array([g(n_a + 1) - g(i + 1) - g(n_a - i + 1) + g(n - n_a + 1) - g(n_c - i + 1) - g(n - n_a - n_c + i + 1) - g(n + 1) + g(n_c + 1) + g(n - n_c + 1) for i in k.tolist()])
-    p = np.exp(log)
-    greater, less = min(1.0, float(p[k >= n_ac].sum())), min(1.0, float(p[k <= n_ac].sum()))
+    greater, less = _tails(int(n_ac), int(n_a), int(n_c), int(n))
     return {"greater": greater, "less": less, "two-sided": min(1.0, 2 * min(greater, less))}[alternative]
 
 
-_FACT = np.zeros(1)
-
-
-def _log_factorials(n: int) -> np.ndarray:
-    global _FACT
-    if n <= 5_000_000 and len(_FACT) <= n:
-        _FACT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    return _FACT
-
-
 def rule_significance(rules: DataFrame, n: int, method: str = "fisher", alternative: str = "greater") -> DataFrame:
-    """``rules`` with ``p_value`` (and ``statistic`` for chi2) of independence of the two sides over ``n`` transactions."""
+    """``rules`` with ``p_value`` (and ``statistic`` for chi2) of independence of the two sides over ``n`` transactions.
+
+    Without a deviation, or with an empty margin, p is 1 whatever the alternative of chi2. Supports that are no
+    multiples of 1/n are an error.
+    """
     if alternative not in ("greater", "less", "two-sided") or method not in ("fisher", "chi2"):
         raise ValueError("method must be fisher or chi2, alternative greater, less or two-sided")
     ac, a, c = _counts(n)
@@ -56,14 +76,14 @@ def rule_significance(rules: DataFrame, n: int, method: str = "fisher", alternat
         off = ac * n - a * c
         bottom = a * c * (n - a) * (n - c)
         statistic = F.when(bottom > 0, n * off * off / bottom).otherwise(F.lit(0.0))
-        z = F.sqrt(F.col("statistic")) * F.signum(off)
 
         @F.pandas_udf("double")
-        def upper(z: pd.Series) -> pd.Series:
+        def tail(z: pd.Series) -> pd.Series:
             return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
 
-        p = {"greater": upper(z), "less": upper(-z), "two-sided": upper(F.abs(z)) * 2}[alternative]
-        return rules.withColumn("statistic", statistic).withColumn("p_value", p)
+        z = F.sqrt("statistic") * F.signum(off)
+        p = {"greater": tail(z), "less": tail(-z), "two-sided": tail(F.abs(z)) * 2}[alternative]
+        return rules.withColumn("statistic", statistic).withColumn("p_value", F.when(F.col("statistic") == 0, 1.0).otherwise(p))
 
     @F.pandas_udf("double")
     def test(n_ac: pd.Series, n_a: pd.Series, n_c: pd.Series) -> pd.Series:
@@ -147,25 +167,34 @@ def shuffled_items(rows: DataFrame, items: str = "items", null: str = "permute",
         raise ValueError("null must be shift or permute")
     total = rows.count()
     long = rows.select(F.col(pos).cast("bigint").alias("p"), F.explode(items).alias("item")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    key = F.pmod(F.xxhash64("item", "perm", F.lit(seed)), F.lit(max(total, 1)))
     if null == "shift":
-        moved = F.pmod(F.col("p") + key, F.lit(max(total, 1)))
+        moved = F.pmod(F.col("p") + F.pmod(F.xxhash64("item", "perm", F.lit(seed)), F.lit(max(total, 1))), F.lit(max(total, 1)))
     else:
-        # an affine bijection modulo the next prime, walked on until it falls inside
-        prime = _next_prime(max(total, 2))
-        a = F.pmod(F.xxhash64("item", "perm", F.lit(seed + 1)), F.lit(min(prime - 1, 1 << 20))) + 1
-        step = lambda p: F.pmod(F.pmod(p * a, F.lit(prime)) + key, F.lit(prime))
-        moved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), step(F.col("p")), lambda m, _: F.when(m < total, m).otherwise(step(m)))
-        moved = F.when(moved < total, moved).otherwise(F.col("p"))
+        moved = keyed_permutation(F.col("p"), max(total, 1), [F.col("item"), F.col("perm"), F.lit(seed)])
     out = long.select("perm", moved.alias(pos), "item").groupBy("perm", pos).agg(F.array_sort(F.collect_set("item")).alias(items))
     every = rows.select(F.col(pos).cast("bigint").alias(pos)).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return every.join(out, ["perm", pos], "left").withColumn(items, F.coalesce(items, F.array().cast("array<string>")))
 
 
-def _next_prime(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def keyed_permutation(place: Column, total: int, key: list[Column], rounds: int = 8) -> Column:
+    """A bijection of 0..total-1 that depends on ``key``: hash rounds on the two digits of a number in a mixed base.
+
+    The base's product exceeds ``total`` by less than its root; a place that falls outside is sent on until it is
+    inside, so no two places meet.
+    """
+    wide = math.isqrt(max(total - 1, 0)) + 1
+    high = -(-total // wide)
+    start = lambda x: F.struct(F.floor(x / wide).cast("bigint").alias("h"), F.pmod(x, F.lit(wide)).cast("bigint").alias("l"))
+
+    def turn(s, k):
+        even = F.struct(F.pmod(s["h"] + F.pmod(F.xxhash64(s["l"], k, *key), F.lit(high)), F.lit(high)).alias("h"), s["l"].alias("l"))
+        odd = F.struct(s["h"].alias("h"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["h"], k, *key), F.lit(wide)), F.lit(wide)).alias("l"))
+        return F.when(k % 2 == 0, even).otherwise(odd)
+
+    def send(x):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start(x), turn, lambda s: s["h"] * wide + s["l"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), send(place), lambda x, _: F.when(x < total, x).otherwise(send(x)))
 
 
 def permutation_null(rows: DataFrame, miner: Callable[[DataFrame, str], DataFrame], measure: str = "p_value", n_permutations: int = 100, null: str = "permute", seed: int = 0, items: str = "items", pos: str = "pos") -> DataFrame:
@@ -188,45 +217,80 @@ def permutation_p_values(rules: DataFrame, null: DataFrame, measure: str = "p_va
     return rules.withColumn("permutation_p", (1 + hit) / (1 + n))
 
 
-def fuzzy_rule_significance(rules: DataFrame, frame: DataFrame, n_permutations: int = 999, seed: int = 0, statistic: str = "cardinality", num_alpha: int = 10, items: str = "items", degrees: str = "degrees") -> DataFrame:
+def fuzzy_rule_significance(rules: DataFrame, frame: DataFrame, n_permutations: int = 999, seed: int = 0, statistic: str = "cardinality", num_alpha: int = 10, items: str = "items", degrees: str = "degrees", grid: int = 200) -> DataFrame:
     """``rules`` with ``fuzzy_confidence`` and ``p_value`` by permuting the consequent's degrees.
 
-    A permutation's joint cardinality depends on the two sides' degrees only through their counts, so each rule
-    brings its two histograms (one row per distinct degree, merged before the shuffle) and not its transactions.
+    A permutation's joint cardinality depends on the two sides' degrees only through how often each pair of
+    degrees meets, so a rule brings a table of counts and no transactions: degrees fall on a grid of 1/``grid``
+    for the permutations (on the alpha levels for ``fconf``, where nothing is lost), and permuted tables are drawn
+    from the two margins. No task holds more than (``grid`` + 1) squared rows of a rule. ``fuzzy_confidence`` comes
+    from the degrees as they are. Transactions meet rules by their items only.
     """
     if statistic not in ("cardinality", "fconf") or n_permutations < 1:
         raise ValueError("statistic must be cardinality or fconf, n_permutations positive")
     wanted = cut(rules.select("antecedents", "consequents").distinct().withColumn("rule", F.monotonically_increasing_id()))
-    rows = frame.select(F.map_from_arrays(items, degrees).alias("m"))
-    total = frame.count()
-    side = lambda of: F.array_min(F.transform(of, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))))
-    pairs = rows.crossJoin(F.broadcast(wanted)).select("rule", side("antecedents").alias("a"), side("consequents").alias("b")).where("a > 0 or b > 0")
-    merged = pairs.groupBy("rule", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    levels = np.arange(num_alpha, 0, -1) / num_alpha
+    rows = cut(frame.groupBy(F.col(items).alias("items"), F.col(degrees).alias("degrees")).agg(F.count(F.lit(1)).alias("w")))
+    total = rows.agg(F.sum("w")).first()[0] or 0
+    rows = rows.withColumn("t", F.monotonically_increasing_id()).select("t", "w", F.explode(F.arrays_zip(F.col("items").alias("i"), F.col("degrees").alias("d"))).alias("s")).select("t", "w", F.col("s.i").alias("item"), F.col("s.d").alias("d"))
+    sizes = [F.size("antecedents").alias("ka"), F.size("consequents").alias("kc")]
+    parts = wanted.select("rule", *sizes, F.explode("antecedents").alias("item"), F.lit(0).alias("side")).union(wanted.select("rule", *sizes, F.explode("consequents"), F.lit(1)))
+    of = lambda k: F.when(F.col("side") == k, F.col("d"))
+    met = rows.join(parts, "item").groupBy("t", "w", "rule", "ka", "kc").agg(*[f(of(k)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("least", F.min), ("n", F.count))])
+    a, b = (F.when(F.col(f"n{k}") == F.col(c), F.col(f"least{k}")).otherwise(0.0) for k, c in ((0, "ka"), (1, "kc")))
+    pairs = met.select("rule", "w", a.alias("a"), b.alias("b"))
+    cells = num_alpha if statistic == "fconf" else grid
+    cell = lambda c: (F.floor(F.col(c) * cells + 1e-9) if statistic == "fconf" else F.round(F.col(c) * cells)).cast("int")
+    table = pairs.groupBy("rule", cell("a").alias("i"), cell("b").alias("j")).agg(F.sum("w").alias("n"), F.sum(F.least("a", "b") * F.col("w")).alias("joint"), F.sum(F.col("a") * F.col("w")).alias("whole"))
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.repeat(pdf[c].to_numpy(), pdf["n"]) for c in ("a", "b"))
-        a, b = (np.concatenate([x, np.zeros(total - len(x))]) for x in (a, b))
-        rng = np.random.default_rng([seed, int(pdf["rule"].iloc[0])])
-
-        def value(x):
-            joint = np.minimum(a, x)
+        i, j, n = (pdf[c].to_numpy() for c in ("i", "j", "n"))
+        own, other = np.bincount(i, n, cells + 1).astype(np.int64), np.bincount(j, n, cells + 1).astype(np.int64)
+        other[0] += total - n.sum()
+        meets = np.zeros((1, cells + 1))
+        np.add.at(meets[0], np.minimum(i, j), n)
+        low = np.cumsum(own[::-1])[::-1][1:].astype(float)  # antecedents at each level and above
+
+        def value(meets):
             if statistic == "cardinality":
-                return joint.sum() / a.sum()
-            top, bottom = [(joint >= k).sum() for k in levels], [(a >= k).sum() for k in levels]
-            return float(np.mean([t / u if u else 1.0 for t, u in zip(top, bottom)]))
+                return meets @ np.arange(cells + 1) / max(own @ np.arange(cells + 1), 1e-300)
+            top = np.cumsum(meets[:, ::-1], 1)[:, ::-1][:, 1:]
+            return np.where(low > 0, top / np.maximum(low, 1), 1.0).mean(1)
 
-        if a.sum() <= 0:
+        whole = pdf["whole"].sum()
+        if whole <= 0:
             return pd.DataFrame({"rule": pdf["rule"].iloc[:1], "fuzzy_confidence": [0.0 if statistic == "cardinality" else 1.0], "p_value": [1.0]})
-        seen = value(b)
-        reached = sum(value(rng.permutation(b)) >= seen - 1e-12 for _ in range(n_permutations))
-        return pd.DataFrame({"rule": pdf["rule"].iloc[:1], "fuzzy_confidence": [seen], "p_value": [(1 + reached) / (1 + n_permutations)]})
-
-    tested = merged.groupBy("rule").applyInPandas(test, "rule bigint, fuzzy_confidence double, p_value double")
+        rng = np.random.default_rng([seed, int(pdf["rule"].iloc[0])])
+        drawn, left = np.zeros((n_permutations, cells + 1)), np.tile(other, (n_permutations, 1))
+        for x in range(cells, 0, -1):
+            if not own[x]:
+                continue
+            need, pool = np.full(n_permutations, own[x]), left.sum(1)
+            for y in np.flatnonzero(other):
+                pool = pool - left[:, y]
+                got = _draw(rng, left[:, y], pool, need)
+                left[:, y] -= got
+                need = need - got
+                drawn[:, min(x, y)] += got
+        seen = float(value(meets)[0])
+        reached = int((value(drawn) >= seen - 1e-12).sum())
+        exact = float(pdf["joint"].sum() / whole) if statistic == "cardinality" else seen
+        return pd.DataFrame({"rule": pdf["rule"].iloc[:1], "fuzzy_confidence": [exact], "p_value": [(1 + reached) / (1 + n_permutations)]})
+
+    tested = table.groupBy("rule").applyInPandas(test, "rule bigint, fuzzy_confidence double, p_value double")
     empty = wanted.join(tested, "rule", "left").fillna({"fuzzy_confidence": 0.0 if statistic == "cardinality" else 1.0, "p_value": 1.0})
     return rules.join(empty.drop("rule"), ["antecedents", "consequents"])
 
 
+def _draw(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws; above the library's limit of 10^9 rows by a normal of equal mean and variance."""
+    if int((good + bad).max()) < 1_000_000_000:
+        return rng.hypergeometric(good, bad, need)
+    total = np.maximum(good + bad, 2).astype(float)
+    share = good / total
+    spread = np.sqrt(need * share * (1 - share) * (total - need) / (total - 1))
+    return np.clip(np.rint(rng.normal(need * share, spread)), np.maximum(0, need - bad), np.minimum(good, need)).astype(np.int64)
+
+
 def fuzzy_significant_rules(rules: DataFrame, frame: DataFrame, alpha: float = 0.05, correction: str = "fdr_bh", n_tests: int | None = None, **options) -> DataFrame:
     tested = cut(fuzzy_rule_significance(rules, frame, **options))
     return adjust_pvalues(tested, correction, n_tests).where(F.col("p_adjusted") <= alpha)
