@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, sized
 from .sequences import ELEMENTS, clean_elements
 from .series import lag_items, lag_of, split_lag
 
@@ -55,7 +55,7 @@ def fired(rows: DataFrame, rules: DataFrame, pos: str = "pos", items: str = "ite
     long = table.select(pos, items, F.explode(items).alias("lead"))
     some = rules.where(F.size(antecedent) > 0).withColumn("lead", F.element_at(antecedent, 1))
     reach = F.coalesce(F.array_max(F.transform(F.concat("antecedents", "consequents"), lag_of)), F.lit(0))
-    hit = long.join(F.broadcast(some), "lead").where((F.size(F.array_except(antecedent, items)) == 0) & (F.col(pos) >= reach)).drop("lead")
+    hit = long.join(sized(some), "lead").where((F.size(F.array_except(antecedent, items)) == 0) & (F.col(pos) >= reach)).drop("lead")
     none = rules.where(F.size(antecedent) == 0)
     return hit.unionByName(table.crossJoin(F.broadcast(none)).select(*hit.columns))
 
@@ -130,7 +130,7 @@ def evaluate_forecast(rows: DataFrame, rules: DataFrame, threshold: float = 0.5,
     n = part.count()
     names = usable.select(F.explode("consequents").alias("item")).distinct()
     scores = rule_scores(rows, usable, combine, past_only, pos, items).where((F.col(pos) >= first + start) & (F.col("score") >= threshold)).select(pos, "item", F.lit(1).alias("guess"))
-    actual = part.select(pos, F.explode(F.array_distinct(items)).alias("item")).join(F.broadcast(names), "item", "left_semi").select(pos, "item", F.lit(1).alias("real"))
+    actual = part.select(pos, F.explode(F.array_distinct(items)).alias("item")).join(sized(names), "item", "left_semi").select(pos, "item", F.lit(1).alias("real"))
     both = scores.join(actual, [pos, "item"], "full_outer").groupBy("item").agg(F.count("real").alias("positives"), F.count("guess").alias("predicted"), F.count_if(F.col("real").isNotNull() & F.col("guess").isNotNull()).alias("hits"))
     out = names.join(both, "item", "left").fillna(0, ["positives", "predicted", "hits"])
     precision, recall = F.when(F.col("predicted") > 0, F.col("hits") / F.col("predicted")), F.when(F.col("positives") > 0, F.col("hits") / F.col("positives"))
@@ -145,7 +145,7 @@ def _pending(cases: DataFrame, rules: DataFrame, combine: str, key: Sequence[str
     """``(key, item, score)`` from ``(key, items, firsts, lasts)``: items of rules complete in the history and still to come."""
     rules = rules.select("antecedents", "consequents", "confidence").withColumn("lead", F.element_at("antecedents", 1))
     at = lambda values, i: F.get(F.col(values), (F.array_position("items", i) - 1).cast("int"))
-    hit = cases.select(*key, "items", "firsts", "lasts", F.explode("items").alias("lead")).join(F.broadcast(rules), "lead").where(_holds("antecedents"))
+    hit = cases.select(*key, "items", "firsts", "lasts", F.explode("items").alias("lead")).join(sized(rules), "lead").where(_holds("antecedents"))
     done = hit.withColumn("done", F.array_max(F.transform("antecedents", lambda i: at("firsts", i)))).select(*key, "items", "lasts", "done", "confidence", F.explode("consequents").alias("item"))
     waiting = done.where(F.coalesce(at("lasts", F.col("item")), F.lit(-1)) <= F.col("done"))
     return waiting.groupBy(*key, "item").agg(_combined(combine).alias("score"))

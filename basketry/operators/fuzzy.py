@@ -39,30 +39,15 @@ def fuzzy_negative_itemsets(frame: DataFrame, min_supp: float, num_alpha: int, n
     """Itemsets over items and their complements, complemented level by level: at level ``a`` the item ``~x``
     holds where ``x`` does not reach ``a``.
 
-    Each level is a crisp group of its own, so the complement is one of sets and not of degrees; the levels are
-    mined side by side from single items that could be frequent, and those itemsets kept whose mean reaches the
-    threshold. A level's support is at most 1, so an itemset of mean ``s`` reaches ``s`` at one level at least.
+    The complement is one of sets, level by level, and not of degrees. Complements are made of the items' vectors
+    within the miner, so transactions stay as they are.
     """
-    from .rules import NEGATION
-
-    clean = _degrees(frame, items, degrees)
-    absent = F.array(*map(F.lit, negate_items)) if negate_items else F.array().cast("array<string>")
-    per_level = []
-    for k, level in enumerate(alpha_levels(num_alpha)):
-        held = F.transform(F.filter(F.arrays_zip(F.col(items).alias("i"), F.col(degrees).alias("d")), lambda s, level=level: s["d"] >= level), lambda s: s["i"])
-        per_level.append(F.struct(F.lit(str(k)).alias("level"), F.array_sort(F.concat(held, F.transform(F.array_except(absent, held), lambda x: F.concat(F.lit(NEGATION), x)))).alias("items")))
-    rows = clean.select(F.explode(F.array(*per_level)).alias("s")).select("s.*")
-    forbid = {i: {NEGATION + i} for i in negate_items} | {NEGATION + i: {i} for i in negate_items}
-    found = I.mine(rows, min_supp, group="level", forbid=forbid, max_len=max_len)
-    wanted = sorted({tuple(r["itemset"]) for r in found.select("itemset").distinct().collect()})
-    total = frame.count()
-    every = None
-    for k in range(num_alpha):
-        part = I.count_itemsets(rows.where(F.col("level") == str(k)), wanted).withColumn("level", F.lit(k))
-        every = part if every is None else every.unionByName(part)
-    levels = F.transform(F.sequence(F.lit(0), F.lit(num_alpha - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0)) / F.lit(max(total, 1)))
-    out = every.groupBy("itemset").agg(F.map_from_entries(F.collect_list(F.struct("level", "count"))).alias("m")).select("itemset", F.size("itemset").alias("size"), levels.alias("levels"))
-    return out.withColumn("support", fuzzy_support(F.col("levels"))).where(F.col("support") >= min_supp - 1e-12)
+    I.check_share(min_supp)
+    alpha_levels(num_alpha)
+    forbid = {i: {I.NEGATION + i} for i in negate_items} | {I.NEGATION + i: {i} for i in negate_items}
+    found = I.mine(_degrees(frame, items, degrees), min_supp, items, degrees, max_len=max_len, payload=I.FuzzyLiterals(num_alpha, negate_items), forbid=forbid)
+    levels = F.transform("sums", lambda s: s / F.col("n"))
+    return found.select("itemset", "size", levels.alias("levels")).withColumn("support", fuzzy_support(F.col("levels")))
 
 
 def fuzzy_negative_association_rules(frame: DataFrame, min_supp: float, num_alpha: int = 10, metric: str = "FConf", min_threshold: float = 0.8, negate_items: Sequence[str] | None = None, only_negative: bool = True, items: str = "items", degrees: str = "degrees", max_len: int | None = None) -> DataFrame:

@@ -87,6 +87,9 @@ class Payload:
     #: sums per itemset
     width = 1
 
+    def names(self, chunk: _Chunk) -> list[str]:
+        return chunk.names
+
     def vector(self, chunk: _Chunk, name: str):
         bits = np.zeros(chunk.n, bool)
         bits[chunk.where[chunk.rows(name)]] = True
@@ -99,7 +102,7 @@ class Payload:
         return np.array([float(np.bitwise_count(v).sum()) if chunk.weights is None else chunk.weights[v].sum()])
 
     def bound(self, chunk: _Chunk) -> np.ndarray:
-        """Per item, what no itemset with it exceeds in the measure of :meth:`value`."""
+        """Per name, what no itemset with it exceeds in the measure of :meth:`value`."""
         return chunk.per_item()
 
     def value(self, sums: np.ndarray) -> float:
@@ -112,6 +115,31 @@ class Payload:
         return value >= np.ceil(share * base - 1e-9)
 
 
+NEGATION = "~"
+
+
+class Literals(Payload):
+    """Membership of items and absence of named ones: absent items take no place in the rows."""
+
+    def __init__(self, negated: Sequence[str]) -> None:
+        self.negated = sorted(negated)
+        self._absent = {NEGATION + i: i for i in self.negated}
+
+    def names(self, chunk):
+        return chunk.names + [n for n in self._absent if n not in chunk.place]
+
+    def vector(self, chunk, name):
+        if name not in self._absent or name in chunk.place:
+            return super().vector(chunk, name)
+        bits = np.ones(chunk.n, bool)
+        bits[chunk.where[chunk.rows(self._absent[name])]] = False
+        return bits if chunk.weights is not None else np.packbits(np.pad(bits, (0, -chunk.n % 64))).view(np.uint64)
+
+    def bound(self, chunk):
+        there = chunk.per_item()
+        return np.concatenate([there, [chunk.total - (there[chunk.place[i]] if i in chunk.place else 0) for n, i in self._absent.items() if n not in chunk.place]])
+
+
 class Degrees(Payload):
     """Fuzzy items: the smallest degree of each transaction, counted at each alpha level (1 first)."""
 
@@ -138,6 +166,38 @@ class Degrees(Payload):
         return value >= share * base - 1e-9
 
 
+class FuzzyLiterals(Degrees):
+    """Fuzzy items and complements level by level: at level ``a`` the item ``~x`` holds where ``x`` does not reach ``a``.
+
+    Of a set, each transaction keeps the smallest degree of its items and the largest of those it denies.
+    """
+
+    def __init__(self, levels: int, negated: Sequence[str]) -> None:
+        super().__init__(levels)
+        self._absent = {NEGATION + i: i for i in sorted(negated)}
+
+    def names(self, chunk):
+        return chunk.names + [n for n in self._absent if n not in chunk.place]
+
+    def vector(self, chunk, name):
+        if name in self._absent and name not in chunk.place:
+            return np.stack([np.ones(chunk.n), super().vector(chunk, self._absent[name])])
+        return np.stack([super().vector(chunk, name), np.full(chunk.n, -1.0)])
+
+    def join(self, a, b):
+        return np.stack([np.minimum(a[0], b[0]), np.maximum(a[1], b[1])])
+
+    def sums(self, v, chunk):
+        reached, denied = (np.searchsorted(self.alphas, x, "right") for x in v)
+        some = np.flatnonzero(reached > denied)
+        w = None if chunk.weights is None else chunk.weights[some]
+        change = np.bincount(denied[some], w, self.width + 1).astype(float) - np.bincount(reached[some], w, self.width + 1)
+        return np.cumsum(change)[: self.width][::-1]
+
+    def bound(self, chunk):
+        return np.full(len(self.names(chunk)), chunk.total)
+
+
 class Utilities(Payload):
     """Items with a utility: sums of the itemset's utility, of its transactions' whole utility, and their number."""
 
@@ -178,9 +238,10 @@ def _mine(chunk: _Chunk, payload: Payload, share: float, max_len: int | None, it
         return payload.reaches(payload.value(sums), least, base)
 
     # a cheap bound before vectors are made: most items of a large vocabulary end here
-    shares = np.array([item_share.get(i, share) for i in chunk.names]) if item_share else share
+    names = payload.names(chunk)
+    shares = np.array([item_share.get(i, share) for i in names]) if item_share else share
     first = []
-    for name in sorted(chunk.names[k] for k in np.flatnonzero(payload.bound(chunk) >= shares * base * (1 - 1e-9) - 1e-9)):
+    for name in sorted(names[k] for k in np.flatnonzero(payload.bound(chunk) >= shares * base * (1 - 1e-9) - 1e-9)):
         vector = payload.vector(chunk, name)
         sums = payload.sums(vector, chunk)
         if good(sums, (name,)):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import MEASURES, RULE_COLUMNS, measure, quotient, with_measures
-from ..session import cut
+from ..session import cut, sized
 from . import itemsets as I
 
 #: Tables of itemsets up to this many rows are broadcast when supports are looked up.
@@ -138,14 +138,14 @@ def high_utility_rules(utilities: DataFrame, min_utility: float = 0.1, absolute:
         rules = rules.where(F.size("antecedents") <= max_antecedent)
     if max_consequent:
         rules = rules.where(F.size("consequents") <= max_consequent)
-    parts = sorted({tuple(r[0]) for r in rules.select("antecedents").union(rules.select("consequents")).distinct().collect()})
-    counts = cut(I.count_itemsets(baskets, parts).select("itemset", (F.col("count") / F.lit(max(total, 1))).alias("support")))
+    parts = rules.select(F.col("antecedents").alias("itemset")).union(rules.select("consequents"))
+    counts = cut(I.count_table(baskets, parts).select("itemset", (F.col("count") / F.lit(max(total, 1))).alias("support")))
     known = _lookup(rules, counts, "support", [], True)
     # utilities of antecedent and consequent: in rows with the antecedent, and in rows with the whole rule
     per_row = rows.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("item", "utility"))).alias("u"))
     worth = lambda of: F.aggregate(F.transform(of, lambda i: F.col("u")[i]), F.lit(0.0), lambda s, x: s + x)
     first = rules.select("rule", F.element_at("antecedents", 1).alias("item"), "antecedents", "consequents")
-    hit = rows.select("tid", "item").join(F.broadcast(first), "item").join(per_row, "tid").where(F.forall("antecedents", lambda i: F.map_contains_key("u", i)))
+    hit = rows.select("tid", "item").join(sized(first), "item").join(per_row, "tid").where(F.forall("antecedents", lambda i: F.map_contains_key("u", i)))
     whole_rule = F.forall("consequents", lambda i: F.map_contains_key("u", i))
     sums = hit.groupBy("rule").agg(F.sum(worth("antecedents")).alias("ua"), F.sum(F.when(whole_rule, worth("antecedents"))).alias("ua_rule"), F.sum(F.when(whole_rule, worth("consequents"))).alias("uc_rule"))
     out = with_measures(known.join(sums, "rule"), "confidence", min_conf, with_conviction=False)
@@ -155,7 +155,7 @@ def high_utility_rules(utilities: DataFrame, min_utility: float = 0.1, absolute:
     return out if min_utility_conf is None else out.where(F.col("utility_confidence") >= min_utility_conf)
 
 
-NEGATION = "~"
+NEGATION = I.NEGATION
 
 
 def negate(item: str) -> str:
@@ -173,7 +173,11 @@ def add_absent_items(baskets: DataFrame, negate_items: Sequence[str], items: str
 
 
 def negative_association_rules(baskets: DataFrame, min_supp: float, metric: str = "confidence", min_threshold: float = 0.8, negate_items: Sequence[str] | None = None, only_frequent_positive: bool = True, only_negative: bool = True, items: str = "items", max_len: int | None = None) -> DataFrame:
-    """Rules over items and their absence. By default only frequent items are negated."""
+    """Rules over items and their absence. By default only frequent items are negated.
+
+    Absent items are complements of the miner's vectors: baskets stay as they are. Without
+    ``only_frequent_positive`` every name of the table can be absent, and the result holds that many at least.
+    """
     clean = cut(baskets.select(F.array_distinct(F.array_compact(F.coalesce(F.col(items), F.array().cast("array<string>")))).alias("items")))
     if negate_items is None:
         if only_frequent_positive:
@@ -182,7 +186,7 @@ def negative_association_rules(baskets: DataFrame, min_supp: float, metric: str
             singles = clean.select(F.explode("items").alias("i")).distinct()
         negate_items = sorted(r["i"] for r in singles.collect())
     forbid = {i: {NEGATION + i} for i in negate_items} | {NEGATION + i: {i} for i in negate_items}
-    found = I._counted(I.mine(add_absent_items(clean, negate_items), min_supp, forbid=forbid, max_len=max_len))
+    found = I._counted(I.mine(clean, min_supp, forbid=forbid, max_len=max_len, payload=I.Literals(negate_items)))
     rules = association_rules(found, metric, min_threshold)
     negative = F.exists("antecedents", lambda x: x.startswith(NEGATION)) | F.exists("consequents", lambda x: x.startswith(NEGATION))
     return rules.where(negative) if only_negative else rules
@@ -216,7 +220,7 @@ def _masked(baskets: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """Rows of ``(tid, items)`` with the rules whose array ``column`` they contain, by the array's first item."""
     first = wanted.withColumn("first", F.element_at(column, 1))
     rows = baskets.select("tid", "items", F.explode("items").alias("first"))
-    return rows.join(F.broadcast(first), "first").where(F.size(F.array_except(column, "items")) == 0).drop("first")
+    return rows.join(sized(first), "first").where(F.size(F.array_except(column, "items")) == 0).drop("first")
 
 
 def _common(rows: DataFrame, rules: DataFrame | None, min_supp: float, min_conf: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import measure, with_measures
-from ..session import cut
+from ..session import cut, sized
 from . import itemsets as I
 from .rules import splits
 
@@ -104,14 +104,14 @@ def sequential_rules(sequences: DataFrame, min_supp: float, min_conf: float = 0.
     total = rows.count()
     found = I.frequent_itemsets(rows, min_supp, max_antecedent + max_consequent)
     rules = splits(found, []).where((F.size("antecedents") <= max_antecedent) & (F.size("consequents") <= max_consequent))
-    hit = rows.select("items", "firsts", "lasts", F.explode("items").alias("lead")).join(F.broadcast(rules.withColumn("lead", F.element_at("antecedents", 1))), "lead").where(F.size(F.array_except("itemset", "items")) == 0)
+    hit = rows.select("items", "firsts", "lasts", F.explode("items").alias("lead")).join(sized(rules.withColumn("lead", F.element_at("antecedents", 1))), "lead").where(F.size(F.array_except("itemset", "items")) == 0)
     expires = F.array_min(F.transform("consequents", lambda i: _at("lasts", i)))
     valid = hit.where(_completed("antecedents") < expires).groupBy("antecedents", "consequents").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= I.min_count(min_supp, max(total, 1)))
     return _finish(valid, found, total, min_conf, metric, min_threshold)
 
 
 def _finish(valid: DataFrame, found: DataFrame, total: int, min_conf: float, metric: str, min_threshold: float) -> DataFrame:
-    side = lambda name, out: F.broadcast(found.select(F.col("itemset").alias(name), F.col("support").alias(out)))
+    side = lambda name, out: sized(found.select(F.col("itemset").alias(name), F.col("support").alias(out)))
     both = valid.join(side("antecedents", "antecedent_support"), "antecedents").join(side("consequents", "consequent_support"), "consequents")
     rows = both.select("antecedents", "consequents", "antecedent_support", "consequent_support", (F.col("n") / F.lit(max(total, 1))).alias("support"))
     rows = rows.where(F.col("support") / F.col("antecedent_support") >= min_conf - 1e-9)
@@ -135,7 +135,7 @@ def sequential_veto_rules(sequences: DataFrame, min_supp: float, min_conf: float
     rows = cut(first_last(sequences))
     total = rows.count()
     found = cut(I.frequent_itemsets(rows, min_antecedent_supp, max_antecedent))
-    lead = F.broadcast(found.select(F.col("itemset").alias("antecedents"), F.element_at("itemset", 1).alias("lead")))
+    lead = sized(found.select(F.col("itemset").alias("antecedents"), F.element_at("itemset", 1).alias("lead")))
     hit = rows.select("items", "firsts", "lasts", F.explode("items").alias("lead")).join(lead, "lead").where(F.size(F.array_except("antecedents", "items")) == 0).withColumn("done", _completed("antecedents"))
     later = F.filter("items", lambda i: _at("lasts", i) > F.col("done"))
     broken = hit.select("antecedents", F.explode(later).alias("y")).groupBy("antecedents", "y").agg(F.count(F.lit(1)).alias("broken"))
@@ -329,6 +329,6 @@ def significant_sequential_rules(sequences: DataFrame, rules: DataFrame, alpha:
 def _valid_counts(sequences: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = sequences.select(F.struct("perm", "sid").alias("sid"), ELEMENTS)
     rows = first_last(keyed).select(F.col("sid.perm").alias("perm"), "items", "firsts", "lasts")
-    hit = rows.select("*", F.explode("items").alias("lead")).join(F.broadcast(rules.withColumn("lead", F.element_at("antecedents", 1))), "lead").where(F.size(F.array_except(F.array_union("antecedents", "consequents"), "items")) == 0)
+    hit = rows.select("*", F.explode("items").alias("lead")).join(sized(rules.withColumn("lead", F.element_at("antecedents", 1))), "lead").where(F.size(F.array_except(F.array_union("antecedents", "consequents"), "items")) == 0)
     expires = F.array_min(F.transform("consequents", lambda i: _at("lasts", i)))
     return hit.where(_completed("antecedents") < expires).groupBy("perm", "antecedents", "consequents").agg(F.count(F.lit(1)).alias("n"))

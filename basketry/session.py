@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -48,6 +50,7 @@ def scratch_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="basketry-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -77,6 +80,17 @@ def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
+#: Rows of a side that is sent to every task.
+SMALL_ROWS = 100_000
+
+
+def sized(frame: DataFrame) -> DataFrame:
+    """``frame`` as a stored table, marked for broadcast only if it has at most :data:`SMALL_ROWS` rows and the
+    optimizer puts it below 32 MB; beyond, a join with it is a shuffle."""
+    table, rows = cut_counted(frame)
+    return F.broadcast(table) if rows <= SMALL_ROWS and bytes_of(table) <= 32 << 20 else table
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; results that still read them end with it."""
     for path in _MADE.pop(spark.sparkContext.applicationId, set()):
@@ -98,7 +112,7 @@ def discard(table: DataFrame) -> None:
 
 def bytes_of(frame: DataFrame) -> int:
     """The optimizer's estimate of a frame's size."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(frame: DataFrame) -> DataFrame:
