@@ -1,49 +1,25 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and rings.
 
-Level-wise frontier joins throughout: a level is one equi-join of the last level's rows with the links. A few
-levels are planned as one job and stored in the shared scratch folder, so plans stay short and an executor's loss
-costs a few levels at most. Nothing is gathered on the driver but row counts, and nothing is broadcast: with a
-broadcast per level all levels would pass through the driver's memory.
+Level-wise frontier joins throughout: a level joins the rows that are new since the last one with the links, and
+nothing else moves. The links are stored once in buckets of their parent, so a level sorts and shuffles only its
+frontier; parents with many children are salted over several buckets, and items without children leave the
+frontier at once. Each level is a table in the shared scratch folder, so an executor's loss costs a level at most.
+Row counts are all that comes to the driver, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name
-from ..session import cut, discard
+from ..session import cut, cut_counted, scratch_dir, together
 
-#: Levels per job of chains with one shuffle per level, of chains whose levels are all results, and of steps
-#: that refer to the last one twice.
-CHAIN, UNROLL, UNROLL_TWICE = 6, 4, 2
-
-
-#: Up to this many links the levels' plans are light: planned once (not again after each of their many small
-#: stages), interpreted, and over few partitions. For such tables planning and compiling hundreds of small stages
-#: would cost the driver more time and memory than the stages take. Larger tables keep the session's settings.
-LIGHT_LINKS = 2_000_000
-
-
-@contextmanager
-def _light_plans(spark: SparkSession, rows: int):
-    now = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(4 + rows // 50_000)}
-    before = {name: spark.conf.get(name) for name in now}
-    if rows <= LIGHT_LINKS:
-        for name, value in now.items():
-            spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
-def _merge(frame: DataFrame) -> DataFrame:
-    return frame.hint("merge")
+#: Links of a bucket, and children of a parent from which on it is spread over several buckets.
+BUCKET, HOT = 250_000, 100_000
 
 
 def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent") -> tuple[DataFrame, DataFrame]:
@@ -51,159 +27,155 @@ def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent")
 
     Rows with a void child are ignored; a void parent states no parent, but the child is an item.
     """
-    rows = pairs.select(clean_name(F.col(child)).alias("child"), clean_name(F.col(parent)).alias("parent")).where(F.col("child").isNotNull()).distinct()
-    links = cut(rows.where(F.col("parent").isNotNull()))
-    items = cut(rows.select(F.col("child").alias("item")).union(links.select("parent")).distinct())
-    return links, items
+    rows = cut(pairs.select(clean_name(F.col(child)).alias("child"), clean_name(F.col(parent)).alias("parent")).where(F.col("child").isNotNull()).distinct())
+    links = rows.where(F.col("parent").isNotNull())
+    return links, rows.select(F.explode(F.array_distinct(F.array_compact(F.array("child", "parent")))).alias("item")).distinct()
 
 
-def resolve(links: DataFrame, items: DataFrame) -> DataFrame:
-    """``(item, level)``: the longest way from a root, in items; null for items that hang on a ring.
+class _Links:
+    """Distinct links ``(child, parent)`` in buckets of the parent, with what a frontier needs to know of the child.
 
-    From the roots, each level tells its children that a parent is done; a child with no parent left joins the
-    next level. Items that are never reached so hang on a ring. A level costs one shuffle: rows stay parted by
-    item, as are the links by parent, and only the messages to children move.
-    """
-    need = links.groupBy(F.col("child").alias("item")).agg(F.count(F.lit(1)).alias("need"))
-    state = items.join(_merge(need), "item", "left").select("item", F.coalesce("need", F.lit(0)).alias("need"))
-    state = cut(state.withColumn("level", F.when(F.col("need") == 0, 1)))
-    level = 1
-    while True:
-        # a chain of levels is one statement: as calls it would take thousands of round trips to the driver's JVM
-        steps = ["n0 AS (SELECT /*+ REPARTITION(item) */ * FROM {state})"]
-        for k in range(CHAIN):
-            steps.append(f"""m{k} AS (SELECT /*+ MERGE(n) */ inline(CASE WHEN l.child IS NULL THEN array(struct(n.item, n.need, 0L AS done, n.level))
-              ELSE array(struct(n.item, n.need, 0L AS done, n.level), struct(l.child AS item, CAST(NULL AS BIGINT) AS need, 1L AS done, CAST(NULL AS INT) AS level)) END) FROM n{k} n LEFT JOIN {{links}} l ON n.item = l.parent AND n.level = {level})""")
-            level += 1
-            steps.append(f"n{k + 1} AS (SELECT item, need, coalesce(level, CASE WHEN need = 0 THEN {level} END) AS level FROM (SELECT item, max(need) - sum(done) AS need, max(level) AS level FROM m{k} GROUP BY item))")
-        new = cut(links.sparkSession.sql(f"WITH {', '.join(steps)} SELECT * FROM n{CHAIN}", state=state, links=links))
-        discard(state)
-        state = new
-        if state.where(F.col("level") == level).isEmpty():
-            return state.select("item", "level")
-
-
-def trim(links: DataFrame) -> DataFrame:
-    """Links that lie between a link above and a link below, again and again until none falls away.
-
-    Both ends of all ways shrink at once, so half as many rounds as the longest way has links are enough. What
-    is left are the rings and the ways between them.
+    ``fan`` is the number of salts of an item as a parent: 0 without children, more than 1 from :data:`HOT`
+    children on. ``need`` is the number of an item's parents.
     """
-    now = links
-    count = links.count()
-    while count:
-        new = now
-        for _ in range(UNROLL_TWICE):
-            kept = new.join(_merge(new.select(F.col("child").alias("parent")).distinct()), "parent", "left_semi")
-            new = kept.join(_merge(new.select(F.col("parent").alias("child")).distinct()), "child", "left_semi").select("child", "parent")
-        new = cut(new)
-        if now is not links:
-            discard(now)
-        left, now = new.count(), new
-        if left == count:
-            break
-        count = left
-    return now
-
 
-def walk(start: DataFrame, links: DataFrame, paths: bool, every: bool = False) -> DataFrame:
-    """``(item, root, depth[, path])`` for all walks down ``links``, which hang on no ring, from ``start``.
-
-    ``start`` has ``item, root[, path]`` at depth 1. Of walks of equal length to the same item from the same
-    root one stays (that of the smallest path), of different lengths the longest; with ``every`` all stay, each
-    with the depth of its own path.
-    """
-    keep = ["item", "root", "path"] if every else ["item", "root"]
-    frontier, levels, depth = start.withColumn("depth", F.lit(1).cast("bigint")), [], 1
-    own, told = "n.item, n.root, n.depth", "l.child AS item, n.root, {depth} AS depth"
-    if paths:
-        own, told = f"{own}, n.path", f"{told}, concat(n.path, array(l.child)) AS path"
-    while True:
-        steps = ["n0 AS (SELECT /*+ REPARTITION(item) */ * FROM {frontier})"]
-        for k in range(CHAIN):
-            child = told.format(depth=f"{depth + 1}L")
-            steps.append(f"""m{k} AS (SELECT /*+ REPARTITION(item) */ * FROM (SELECT /*+ MERGE(n) */ inline(CASE WHEN l.child IS NULL THEN array(struct({own})) ELSE array(struct({own}), struct({child})) END)
-              FROM n{k} n LEFT JOIN {{links}} l ON n.item = l.parent AND n.depth = {depth}))""")
-            if every:
-                steps.append(f"n{k + 1} AS (SELECT item, root, max(depth) AS depth, path FROM m{k} GROUP BY item, root, path)")
-                depth += 1
-                continue
-            # the longest way, of several the smallest
-            steps.append(f"n{k + 1} AS (SELECT item, root, max(depth) AS depth" + (", max_by(path, depth) AS path FROM (SELECT item, root, depth, min(path) AS path FROM m" + f"{k} GROUP BY item, root, depth)" if paths else f" FROM m{k}") + " GROUP BY item, root)")
-            depth += 1
-        made = cut(links.sparkSession.sql(f"WITH {', '.join(steps)} SELECT * FROM n{CHAIN}", frontier=frontier, links=links))
-        levels.append(made)
-        frontier = made.where(F.col("depth") == depth)
-        if frontier.isEmpty():
-            break
-    found = reduce(DataFrame.unionByName, levels).groupBy(*keep)
-    if paths and not every:
-        return found.agg(F.max("depth").alias("depth"), F.max_by("path", "depth").alias("path"))
-    return found.agg(F.max("depth").alias("depth"))
-
-
-def rings(links: DataFrame) -> DataFrame:
-    """``(item, ring)``: items of rings with the smallest name of their ring.
-
-    Colours flow down what :func:`trim` leaves until each item has the smallest name above it; an item that keeps
-    its own name closes a ring with those of its colour from which it can be reached. Items of found rings leave,
-    and the rest is trimmed and coloured again. A round needs as many levels as the longest ring has items at most.
+    def __init__(self, links: DataFrame) -> None:
+        spark = links.sparkSession
+        fans, self.count = cut_counted(links.groupBy(F.col("parent").alias("item")).agg(F.count(F.lit(1)).alias("n")), F.coalesce(F.sum("n"), F.lit(0)))
+        self.fans = fans.select("item", (F.floor(F.col("n") / HOT) + 1).cast("int").alias("fan"))
+        needs = links.groupBy("child").agg(F.count(F.lit(1)).alias("need"))
+        rows = links.join(self.fans.withColumnRenamed("item", "parent").withColumnRenamed("fan", "spread"), "parent").withColumn("salt", F.pmod(F.xxhash64("child"), F.col("spread")).cast("int"))
+        rows = rows.join(needs, "child").join(self.fans.withColumnRenamed("item", "child"), "child", "left").select("parent", "salt", "child", F.coalesce("fan", F.lit(0)).alias("fan"), "need")
+        buckets = 1 + self.count // BUCKET
+        self.name = f"basketry_links_{uuid.uuid4().hex}"
+        writer = rows.repartition(buckets, "parent", "salt").write.bucketBy(buckets, "parent", "salt").sortBy("parent", "salt")
+        writer.option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{self.name}").saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def down(self, frontier: DataFrame) -> DataFrame:
+        """The frontier's rows (``item``, ``fan``, others) with the links to the item's children."""
+        asked = frontier.where("fan > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
+        own = self.table.select("parent", "salt", F.col("child"), F.col("fan").alias("child_fan"), "need")
+        return asked.drop("fan").join(own.hint("merge"), (asked["item"] == own["parent"]) & (asked["salt"] == own["salt"])).drop("item", "parent", "salt")
+
+    def fanned(self, frame: DataFrame) -> DataFrame:
+        """Rows with ``item``, and the item's fan."""
+        return frame.join(self.fans, "item", "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
+
+    def peel(self, start: DataFrame) -> DataFrame:
+        """``(item)``: what is left when items whose parents are all gone go, again and again, beginning with ``start``.
+
+        Each level tells the children of what went; children that have lost some parents but not all wait. The
+        rest is what :meth:`hung` gives: items that no order from above ever frees.
+        """
+        level, count = cut_counted(self.fanned(start).select("item", "fan", F.lit(0).cast("bigint").alias("need"), F.lit(0).cast("bigint").alias("lost")))
+        levels = [level]
+        while count:
+            told = self.down(level.where("lost = need").select("item", "fan")).select(F.col("child").alias("item"), F.col("child_fan").alias("fan"), "need", F.lit(1).cast("bigint").alias("lost"))
+            told = told.unionByName(level.where("lost < need").select("item", "fan", "need", "lost")).groupBy("item", "fan", "need").agg(F.sum("lost").alias("lost"))
+            level, count = cut_counted(told, F.count_if(F.col("lost") == F.col("need")))
+            levels.append(level)
+        return together(levels).where("lost = need").select("item")
+
+    def descend(self, roots: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+        """``(item, root, depth[, path])`` of the ways down from ``roots`` (``item``), each length of a way once (each
+        way with ``paths``), and the items that no ring is above.
+
+        Two things go down in the same join of a level: the ways, and the news to an item that a parent is done
+        (rows without a root, as in :meth:`peel`). An item with all parents done is on no ring and below none, and
+        no way to it is longer than its level; so the last level that frees an item ends the ways. Ways into the
+        items that are never freed are left to the caller to drop.
+        """
+        keys = ["item", "root", *(["path"] if paths else [])]
+        zero = F.lit(0).cast("bigint")
+        both = self.fanned(roots).select("item", "fan", F.explode(F.array(F.col("item"), F.lit(None).cast("string"))).alias("root"))
+        columns = [*keys[:2], *([F.when(F.col("root").isNotNull(), F.array("item")).alias("path")] if paths else [])]
+        level, count = cut_counted(both.select(*columns, "fan", zero.alias("need"), F.lit(1).cast("bigint").alias("depth"), zero.alias("lost")), F.count_if(F.col("root").isNull()))
+        levels = [level]
+        while count:
+            found = self.down(level.where("root is not null or lost = need").drop("need", "lost"))
+            step = [F.concat("path", F.array("child")).alias("path")] if paths else []
+            found = found.select(F.col("child").alias("item"), "root", *step, F.col("child_fan").alias("fan"), "need", (F.col("depth") + 1).alias("depth"), F.col("root").isNull().cast("bigint").alias("lost"))
+            waiting = level.where("root is null and lost < need")
+            new = found.unionByName(waiting).groupBy(*keys, "fan", "need").agg(F.max("depth").alias("depth"), F.sum("lost").alias("lost"))
+            level, count = cut_counted(new, F.count_if(F.col("root").isNull() & (F.col("lost") == F.col("need"))))
+            levels.append(level)
+        every = together(levels)
+        return every.where("root is not null").select("item", "root", "depth", *keys[2:]), every.where("root is null and lost = need").select("item")
+
+    def reach(self, start: DataFrame) -> DataFrame:
+        """Distinct ``(item, root)`` of ``start`` and of all that hangs below; rings are allowed."""
+        level, count = cut_counted(self.fanned(start.select("item", "root").distinct()))
+        parts = [level]
+        while count:
+            new = self.down(level).select(F.col("child").alias("item"), "root", F.col("child_fan").alias("fan")).distinct()
+            seen = together(parts).select("item", "root")
+            level, count = cut_counted(new.join(seen.hint("merge"), ["item", "root"], "left_anti"))
+            parts.append(level)
+        return together(parts).select("item", "root")
+
+    def colours(self, items: DataFrame) -> DataFrame:
+        """``(item, colour)``: the smallest name at or above each item. Only items whose colour changed tell it on."""
+        now, count = cut_counted(self.fanned(items.withColumn("colour", F.col("item"))).withColumn("new", F.lit(True)))
+        while count:
+            told = self.down(now.where("new").select("item", "fan", "colour")).groupBy(F.col("child").alias("item")).agg(F.min("colour").alias("told"))
+            both = now.select("item", "colour", "fan").join(told.hint("merge"), "item", "left").select("item", F.least("colour", "told").alias("colour"), "fan", F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new"))
+            now, count = cut_counted(both, F.count_if("new"))
+        return now.select("item", "colour")
+
+    def drop(self) -> None:
+        """Forget the table; its files stay until the scratch folder is cleared, for results that read it."""
+        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+
+
+def _among(links: DataFrame, items: DataFrame) -> DataFrame:
+    """Links both of whose ends are among the items."""
+    kept = links.join(items.withColumnRenamed("item", "child").hint("merge"), "child", "left_semi")
+    return kept.join(items.withColumnRenamed("item", "parent").hint("merge"), "parent", "left_semi").select("child", "parent")
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("child", "parent")).alias("item")).distinct()
+
+
+def _hung(links: DataFrame) -> DataFrame:
+    """Items of the links that are on or below a ring: those that no way down frees."""
+    tops = links.select(F.col("parent").alias("item")).distinct().join(links.select(F.col("child").alias("item")), "item", "left_anti")
+    return cut(_ends(links).join(_Links(links).peel(tops).hint("merge"), "item", "left_anti"))
+
+
+def rings(links: DataFrame, hung: DataFrame | None = None) -> DataFrame:
+    """``(item, ring)``: items of rings with the smallest name of their ring. ``hung``: items on or below rings, if known.
+
+    Links that hang on no ring above or lead to none below are peeled away from both sides. Colours flow down
+    what is left until each item has the smallest name above it; an item that keeps its own name closes a ring
+    with those of its colour from which it can be reached. Found rings leave, and the rest is peeled again.
     """
     found = [links.where("child = parent").select(F.col("child").alias("item"), F.col("child").alias("ring"))]
     links = links.where("child <> parent")
     while True:
-        links = trim(links)
-        if links.isEmpty():
+        links, hung = cut(_among(links, _hung(links) if hung is None else hung)), None
+        links, count = cut_counted(_among(links, _hung(_turned(links)))) if not links.isEmpty() else (links, 0)
+        if not count:
             break
-        colours = cut(links.select(F.col("child").alias("item")).union(links.select("parent")).distinct().withColumn("colour", F.col("item")))
-        while True:
-            now = colours
-            for _ in range(UNROLL_TWICE):
-                sent = _merge(links).join(now.withColumnRenamed("item", "parent"), "parent").select(F.col("child").alias("item"), "colour")
-                now = now.union(sent).groupBy("item").agg(F.min("colour").alias("colour"))
-            new = cut(now)
-            same = new.join(_merge(colours), ["item", "colour"], "left_anti").isEmpty()
-            discard(colours)
-            colours = new
-            if same:
-                break
-        # links within a colour; up from the items that gave their colour
-        tint = lambda name: _merge(colours.withColumnRenamed("item", name))
+        colour = cut(_Links(links).colours(_ends(links)))
+        tint = lambda name: colour.withColumnRenamed("item", name).hint("merge")
         inner = cut(links.join(tint("child"), "child").join(tint("parent"), ["parent", "colour"]).select("child", "parent", "colour"))
-        parts = [cut(colours.where("item = colour"))]
-        frontier = parts[0]
-        while not frontier.isEmpty():
-            steps = [frontier]
-            for _ in range(UNROLL):
-                steps.append(_merge(inner).join(steps[-1].withColumnRenamed("item", "child"), ["child", "colour"]).select(F.col("parent").alias("item"), "colour").distinct())
-            new = cut(reduce(DataFrame.unionByName, steps[1:]).distinct().join(_merge(reduce(DataFrame.unionByName, parts)), ["item", "colour"], "left_anti"))
-            parts.append(new)
-            frontier = new
-        closed = cut(reduce(DataFrame.unionByName, parts))
+        # up from the items that gave their colour, within it: a colour is one item's, so it stands for the root
+        up = _Links(_turned(inner.select("child", "parent")))
+        closed = cut(up.reach(colour.where("item = colour").select("item", F.col("colour").alias("root"))))
         # an item alone in its colour is no ring: a ring's first item has a parent within the ring
-        real = inner.where("child = colour").join(_merge(closed.withColumnRenamed("item", "parent")), ["parent", "colour"], "left_semi").select("colour").distinct()
-        found.append(cut(closed.join(_merge(real), "colour", "left_semi").select("item", F.col("colour").alias("ring"))))
-        gone = closed.select("item")
-        links = cut(links.join(_merge(gone.withColumnRenamed("item", "child")), "child", "left_anti").join(_merge(gone.withColumnRenamed("item", "parent")), "parent", "left_anti").select("child", "parent"))
+        real = inner.where("child = colour").join(closed.select(F.col("item").alias("parent"), F.col("root").alias("colour")).hint("merge"), ["parent", "colour"], "left_semi").select(F.col("colour").alias("root")).distinct()
+        found.append(cut(closed.join(real.hint("merge"), "root", "left_semi").select("item", F.col("root").alias("ring"))))
+        gone = closed.select("item").distinct()
+        links = cut(links.join(gone.withColumnRenamed("item", "child").hint("merge"), "child", "left_anti").join(gone.withColumnRenamed("item", "parent").hint("merge"), "parent", "left_anti").select("child", "parent"))
     return reduce(DataFrame.unionByName, found).groupBy("item").agg(F.min("ring").alias("ring"))
 
 
-def reach(start: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Distinct rows of ``start`` (``item`` and ``keys``) and all that hangs below them; rings are allowed."""
-    keys = ["root"] if keys is None else keys
-    parts = [cut(start.select("item", *keys).distinct())]
-    frontier = parts[0]
-    while not frontier.isEmpty():
-        steps = [frontier]
-        for _ in range(UNROLL):
-            now = steps[-1]
-            steps.append(_merge(now).join(links, now["item"] == links["parent"]).select(F.col("child").alias("item"), *keys).distinct())
-        new = cut(reduce(DataFrame.unionByName, steps[1:]).distinct().join(_merge(reduce(DataFrame.unionByName, parts)), ["item", *keys], "left_anti"))
-        parts.append(new)
-        frontier = new
-    return reduce(DataFrame.unionByName, parts)
-
-
 def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True, every: bool = False) -> DataFrame:
     """``(item, root, depth bigint, on_ring boolean[, path array<string>])``: one row per item and root above it.
 
@@ -216,38 +188,37 @@ def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", pa
     Void children and repeated rows count for nothing; an empty table gives no rows; other columns are not read.
     """
     links, items = clean_links(pairs, child, parent)
-    with _light_plans(pairs.sparkSession, links.count()):
-        levels = resolve(links, items)
-        hung = levels.where("level is null").select(F.col("item").alias("child"))
-        ringed = not hung.isEmpty()
-        clean = links
-        if ringed:  # links into items on or below a ring, and all others
-            rest = cut(links.join(_merge(hung), "child", "left_semi").select("child", "parent"))
-            clean = cut(links.join(_merge(hung), "child", "left_anti").select("child", "parent"))
-            ring = cut(rings(rest))
-        roots = levels.where("level = 1").select("item", F.col("item").alias("root"))
+    roots = items.join(links.select(F.col("child").alias("item")), "item", "left_anti")
+    ways, freed = _Links(links).descend(roots, paths)
+    hung, ringed = cut_counted(items.join(freed.hint("merge"), "item", "left_anti"))
+    if ringed:
+        ways = ways.join(hung.hint("merge"), "item", "left_anti")
+    depth = F.max("depth").alias("depth")
+    if paths and every:
+        longest = ways.groupBy("item", "root").agg(depth)
+        above = ways.drop("depth").join(longest.hint("merge"), ["item", "root"]).select("item", "root", "depth", "path")
+    elif paths:  # of the longest ways the smallest
+        above = ways.groupBy("item", "root").agg(F.min(F.struct(-F.col("depth"), "path")).alias("s")).select("item", "root", (-F.col("s.col1")).alias("depth"), "s.path")
+    else:
+        above = ways.groupBy("item", "root").agg(depth)
+    out = above.withColumn("on_ring", F.lit(False))
+    if ringed:
+        out = cut(out)
+        rest = cut(links.join(hung.withColumnRenamed("item", "child").hint("merge"), "child", "left_semi").select("child", "parent"))
+        ring = cut(rings(rest, hung))
+        # from clean items straight into the ringed part, and from the rings themselves
+        entering = rest.join(out.select(F.col("item").alias("parent"), "root").distinct().hint("merge"), "parent").select(F.col("child").alias("item"), "root")
+        below = _Links(rest).reach(entering.union(ring.select("item", F.col("ring").alias("root"))))
+        marked = below.join(ring.select("item", F.lit(True).alias("on_ring")).hint("merge"), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
         if paths:
-            roots = roots.withColumn("path", F.array("item"))
-        above = cut(walk(cut(roots), clean, paths, paths and every))
-        if paths and every:
-            longest = above.groupBy("item", "root").agg(F.max("depth").alias("depth"))
-            above = cut(above.drop("depth").join(_merge(longest), ["item", "root"]).select("item", "root", "depth", "path"))
-        out = above.withColumn("on_ring", F.lit(False))
-        if ringed:
-            # from clean items straight into the ringed part, and from the rings themselves
-            entering = rest.join(_merge(above.select(F.col("item").alias("parent"), "root")), "parent").select(F.col("child").alias("item"), "root")
-            below = reach(entering.union(ring.select("item", F.col("ring").alias("root"))), rest)
-            marked = below.join(_merge(ring.select("item", F.lit(True).alias("on_ring"))), "item", "left").select("item", "root", F.lit(0).cast("bigint").alias("depth"), F.coalesce("on_ring", F.lit(False)).alias("on_ring"))
-            if paths:
-                marked = marked.withColumn("path", F.lit(None).cast("array<string>"))
-            out = out.unionByName(marked)
+            marked = marked.withColumn("path", F.lit(None).cast("array<string>"))
+        out = out.unionByName(marked)
     return out.select("item", "root", "depth", "on_ring", *(["path"] if paths else []))
 
 
 def descendants(pairs: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Distinct ``(item, descendant)``: all items below each item; an item on a ring is below itself."""
     links, _ = clean_links(pairs, child, parent)
-    first = links.select(F.col("child").alias("item"), F.col("parent").alias("root"))
-    with _light_plans(pairs.sparkSession, links.count()):
-        below = reach(first, links)
+    down = _Links(links)
+    below = down.reach(links.select(F.col("child").alias("item"), F.col("parent").alias("root")))
     return below.select(F.col("root").alias("item"), F.col("item").alias("descendant"))

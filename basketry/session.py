@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -73,13 +73,18 @@ def cut(frame: DataFrame, whole_files: bool = False) -> DataFrame:
     return table
 
 
-def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`cut`, and the number of rows, counted as they are written."""
+def cut_counted(frame: DataFrame, count: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows (or another whole aggregate), taken as they are written."""
     seen = Observation()
-    table = cut(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+    table = cut(frame.observe(seen, (F.count(F.lit(1)) if count is None else count).alias("n")))
     return table, seen.get["n"]
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of :func:`cut` with the same columns as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._basketry_path for t in tables])
+
+
 #: Rows of a side that is sent to every task.
 SMALL_ROWS = 100_000
 
