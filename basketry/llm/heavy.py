@@ -92,7 +92,7 @@ def heavy_hitters(values: DataFrame, share: float, width_bits: int = 16, depth:
     probability 1 - 2^-depth. Values are counted within each task first, so a value of a third of all rows
     travels as a few rows; then each hash partition of values runs its own sketch and bounded heap. The
     partitions hold different values, so their heaps are merged by union. If a heap had to let go of an
-    estimate at or above the threshold, all is run again with a larger heap: nothing is lost to the bound.
+    estimate at or above the threshold, all is run again with a larger heap and a wider sketch: nothing is lost to the bound.
     """
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
@@ -108,7 +108,7 @@ def heavy_hitters(values: DataFrame, share: float, width_bits: int = 16, depth:
         if lost < least:
             return found.where((F.col("value").isNotNull()) & (F.col("estimate") >= least)).select("value", "estimate", "error", F.lit(total).cast("bigint").alias("total"))
         discard(found)
-        size *= 4
+        size, width_bits = 4 * size, min(width_bits + 2, 24)
 
 
 def _sketch(width_bits: int, depth: int, size: int):
@@ -143,10 +143,10 @@ def frequent_items(frame: DataFrame, share: float = 0.005, basket: str = "tid",
     """``(item, estimate, occurrences, total)``: items in at least ``share`` of all (basket, item) occurrences.
 
     The candidates come from :func:`heavy_hitters`; their number is at most the heaps' size, whatever the
-    data, so they are broadcast for the exact count that follows, in which only they are shuffled.
+    data; the exact count that follows shuffles only them.
     """
     found = heavy_hitters(baskets_of(frame, basket, items).select("names"), share)
     rows = frame.where(F.col(basket).isNotNull()).select(F.col(basket).alias("b"), F.explode(clean_names(F.col(items))).alias("value"))
-    exact = rows.join(F.broadcast(found.select("value")), "value", "left_semi").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("occurrences"))
-    both = exact.join(F.broadcast(found), "value")
+    exact = rows.join(found.select("value"), "value", "left_semi").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("occurrences"))
+    both = exact.join(found, "value")
     return both.where(F.col("occurrences") >= F.ceil(F.lit(share) * F.col("total") - 1e-9)).select(F.col("value").alias("item"), "estimate", "occurrences", "total")

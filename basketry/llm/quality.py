@@ -179,7 +179,7 @@ def features(counts: np.ndarray) -> np.ndarray:
             np.sqrt(c["common"] / some(c["words"])),
             np.sqrt(c["symbols"] / some(c["chars"])),
             np.sqrt(c["digits"] / some(c["chars"])),
-            np.sqrt(np.minimum(sentences * (1 + cjk * 0), 0.05)),
+            np.sqrt(np.minimum(sentences, 0.05)),
             np.log1p(c["words"] / some(c["lines"])),
             np.log(np.clip((c["letters"] - c["cjk"]) / some(c["words"] - c["cjk"] // 2), 1, 12)) * (1 - cjk) + 1.5 * cjk,
             np.sqrt(c["odd_words"] / some(c["words"])),
@@ -233,6 +233,8 @@ EXAMPLES = [
 class Mixture:
     """A Gaussian mixture with diagonal covariances over standardised features."""
 
+    rounds, move = 0, float("inf")
+
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, centres: np.ndarray, spreads: np.ndarray) -> None:
         self.mean, self.scale, self.weights, self.centres, self.spreads = mean, scale, weights, centres, spreads
 
@@ -319,7 +321,8 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(blocks: DataFrame, fold, size: int) -> np.ndarray:
-    """Sum over all blocks of ``fold(counts)``, a vector of ``size``: one row per task comes to the driver."""
+    """Sum over all blocks of ``fold(counts)``, a vector of ``size``. A task gives one vector as rows of (place, value);
+    they are summed in the JVM, so ``size`` rows come to the driver whatever the number of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -327,17 +330,23 @@ def _gather(blocks: DataFrame, fold, size: int) -> np.ndarray:
             table = _matrix(batch.column(0))[0]
             for at in range(0, len(table), 20_000):
                 total += fold(table[at : at + 20_000])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["k", "v"])
 
-    rows = blocks.select("counts").mapInArrow(run, "v array<double>").collect()
-    return np.sum([r["v"] for r in rows], axis=0) if rows else np.zeros(size)
+    out = np.zeros(size)
+    for row in blocks.select("counts").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[row["k"]] = row["v"]
+    return out
 
 
 _WEIGHT = COUNTS.index("total")
 
 
-def fit_mixture(blocks: DataFrame, common: tuple[str, ...], rounds: int = 12, floor: float = 0.02, settled: float = 0.05) -> tuple[Mixture, list[str]]:
-    """The mixture over all blocks, each weighing as many as its characters, and each component's kind."""
+def fit_mixture(blocks: DataFrame, common: tuple[str, ...], rounds: int = 30, floor: float = 0.02, settled: float = 0.05) -> tuple[Mixture, list[str]]:
+    """The mixture over all blocks, each weighing as many as its characters, and each component's kind.
+
+    Rounds end when no centre moves by ``settled`` standard deviations any more; ``model.rounds`` and ``model.move``
+    say after how many that was and how far the last one moved a centre.
+    """
     kinds, examples = start_examples(_kinds(common))
     d = examples.shape[1]
 
@@ -351,9 +360,10 @@ def fit_mixture(blocks: DataFrame, common: tuple[str, ...], rounds: int = 12, fl
     scale = np.sqrt(np.maximum(m[d + 1 :] / n - mean**2, 1e-4))
     model = Mixture.start(mean, scale, examples)
     if m[0] > 0:
-        for _ in range(rounds):
+        for model.rounds in range(1, rounds + 1):
             sums = _gather(blocks, lambda t: model.sums(features(t), t[:, _WEIGHT].astype(float)).ravel(), len(kinds) * (2 * d + 1))
-            if model.step(sums.reshape(len(kinds), -1), floor) < settled:
+            model.move = model.step(sums.reshape(len(kinds), -1), floor)
+            if model.move < settled:
                 break
     # a component is of the kind of the examples that it answers for, or else of the one it began with
     votes, _ = model.responsibilities(examples)
@@ -418,7 +428,7 @@ def document_quality(documents: DataFrame, common_words: DataFrame, labels: Data
     passes over the documents' blocks per result (counts once, stored; then the mixture's rounds over the counts).
 
     ``labels`` (key, label) serve to correct the kinds of the components; at most ``max_labels`` rows of them are
-    used, those of the smallest keys.
+    used, those of the smallest hashes of their keys.
     """
     common = common_list(common_words)
     blocks = cut(document_blocks(documents, common, key, text))
@@ -426,7 +436,7 @@ def document_quality(documents: DataFrame, common_words: DataFrame, labels: Data
     shares = _shares(blocks, model)
     parts, sizes, prose = np.zeros((0, len(names))), np.zeros(0), np.zeros(0, bool)
     if labels is not None:
-        few = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "label").orderBy("key", "label").limit(max_labels)
+        few = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "label").orderBy(F.xxhash64("key"), "key", "label").limit(max_labels)
         known = _shares(blocks.join(F.broadcast(few.select("key").distinct()), "key", "left_semi"), model).join(F.broadcast(few), "key").select("size", "parts", "label").collect()
         if known:
             parts, sizes, prose = np.array([r["parts"] for r in known]), np.array([r["size"] for r in known]), np.array([r["label"] == "prose" for r in known])
@@ -450,6 +460,14 @@ def document_quality(documents: DataFrame, common_words: DataFrame, labels: Data
     )
 
 
+def components(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(component, kind, weight, rounds, last_move)`` of the fitted mixture: what it found, and how it settled."""
+    common = common_list(common_words)
+    model, names = fit_mixture(cut(document_blocks(documents, common, key, text)), common)
+    rows = [(k, n, float(w), model.rounds, float(model.move)) for k, (n, w) in enumerate(zip(names, model.weights))]
+    return documents.sparkSession.createDataFrame(rows, "component int, kind string, weight double, rounds int, last_move double")
+
+
 def unnatural(documents: DataFrame, common_words: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``(doc_id)`` of the documents with non-blank text of which less than half the characters are prose."""
     return document_quality(documents, common_words, labels).where("prose_share < 0.5").select("doc_id")

@@ -68,8 +68,12 @@ def p9_quality(spark, sf_dir):
     return quality.document_quality(*(_table(spark, sf_dir, t) for t in ("documents", "common_words", "text_labels")))
 
 
+def p9_components(spark, sf_dir):
+    return quality.components(*(_table(spark, sf_dir, t) for t in ("documents", "common_words")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p3_found, p3_counts, p4_found, p4_orders, p7_ids, p8_containers, p8_fill, p9_found, p9_quality)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p3_found, p3_counts, p4_found, p4_orders, p7_ids, p8_containers, p8_fill, p9_found, p9_quality, p9_components)
 }
 
 _STRIP = " || ".join(f"chr({ord(c)})" for c in BLANKS)

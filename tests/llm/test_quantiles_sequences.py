@@ -102,7 +102,7 @@ def test_orders(spark, long):
             k = sum(contains(q, p) for q in sequences)
             if k >= 0.6 * len(sequences):
                 want[p] = k
-    got = {tuple(r["pattern"]): r["support"] for r in frequent_orders(frame, ["h"], "t", "s", 0.6, 4, long=long).collect()}
+    got = {tuple(r["pattern"]): r["support"] for r in frequent_orders(frame, ["h"], "t", "s", 0.6, 4, piece=long).collect()}
     assert got == want and any(len(p) == 4 for p in want)
 
 
