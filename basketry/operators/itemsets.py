@@ -356,11 +356,13 @@ def mine(
     forbid: dict[str, set] | None = None,
     chunk: int = CHUNK,
     least_part: int = MIN_PART,
+    stored: bool = False,
 ) -> DataFrame:
     """``([group,] itemset, size, sums array<double>, n)`` of the itemsets that reach ``min_supp``.
 
     ``frame`` has one row per transaction: an array of distinct item names, an array of values beside it for
-    degrees and utilities, and an optional group, mined by itself. Empty transactions count in ``n``.
+    degrees and utilities, and an optional group, mined by itself. Empty transactions count in ``n``. It is stored
+    first, unless it is read from a stored table already (``stored``).
     """
     payload = payload or Payload()
     forbid, item_share = forbid or {}, item_share or {}
@@ -368,14 +370,19 @@ def mine(
     columns = {"g": F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit(ONE), "items": listed if values else F.array_sort(listed)}
     if values:
         columns["values"] = F.coalesce(F.col(values), F.array().cast("array<double>"))
-    rows = stored = cut(frame.select(*[c.alias(n) for n, c in columns.items()]))
+    rows = frame.select(*[c.alias(n) for n, c in columns.items()])
+    rows = rows if stored else cut(rows)
+    held_back = [] if stored else [rows]
     content = list(columns)[1:]
     worth = F.sum(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)) if values else F.lit(0.0)
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), worth.alias("base"), F.approx_count_distinct(F.xxhash64(*content)).alias("d"))
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    sizes = cut(sizes)
-    extent = sizes.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("groups")).first()
-    if not extent["n"]:
+    if group:
+        sizes = cut(sizes)
+        extent = sizes.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("groups")).first()
+    else:
+        extent = sizes.withColumn("groups", F.lit(1)).first()
+    if extent is None or not extent["n"]:
         out = frame.sparkSession.createDataFrame([], T._parse_datatype_string("g string, itemset array<string>, size int, sums array<double>, n bigint"))
         return out.drop("g") if not group else out.withColumnRenamed("g", group)
     # merge equal transactions where that halves them at least
@@ -384,17 +391,19 @@ def mine(
         rows, mark = rows.groupBy("g", *content).agg(F.count(F.lit(1)).alias("w")), F.xxhash64(*content)
     else:
         rows, mark = rows.withColumn("w", F.lit(1).cast("bigint")), F.xxhash64(F.monotonically_increasing_id())
-    have = F.col("d" if merged else "n")
-    wanted = F.greatest(F.lit(1), F.least(F.floor(have / min(least_part, chunk)), F.greatest(F.lit(math.ceil(cores / extent["groups"])), F.floor(have / chunk)))).cast("int")
-    sizes = sizes.withColumn("parts", wanted)
-    total = sizes.agg(F.sum("parts")).first()[0]
-    if group:
+    few, width = min(least_part, chunk), math.ceil(cores / extent["groups"])
+    if not group:
+        have = extent["d" if merged else "n"]
+        total = max(1, min(have // few, max(width, have // chunk)))
+        rows = rows.withColumn("part", F.pmod(mark, F.lit(total)).cast("int")).repartitionById(total, F.col("part"))
+    else:
+        have = F.col("d" if merged else "n")
+        sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.least(F.floor(have / few), F.greatest(F.lit(width), F.floor(have / chunk)))).cast("int"))
+        total = sizes.agg(F.sum("parts")).first()[0]
         side = sizes.select("g", "parts")
         rows = rows.join(F.broadcast(side) if extent["groups"] <= SMALL_GROUPS else side, "g").withColumn("part", F.pmod(mark, "parts").cast("int"))
         tasks = max(1, min(total, max(2 * cores, math.ceil(extent["d" if merged else "n"] / chunk))))
         rows = rows.repartitionById(tasks, F.pmod(F.xxhash64("g") + F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("g", "part")
-    else:
-        rows = rows.withColumn("part", F.pmod(mark, F.lit(total)).cast("int")).repartitionById(total, F.col("part"))
     rows = rows.select("g", "part", *content, "w")
     single = total == extent["groups"]
     if not single:
@@ -431,8 +440,12 @@ def mine(
         found = counted[0]
         for part in counted[1:]:
             found = found.unionByName(part)
-    side = sizes.select("g", "n", "base")
-    full = found.join(F.broadcast(side) if extent["groups"] <= SMALL_GROUPS else side, "g").withColumn("size", F.size("itemset"))
+    if group:
+        side = sizes.select("g", "n", "base")
+        full = found.join(F.broadcast(side) if extent["groups"] <= SMALL_GROUPS else side, "g")
+    else:
+        full = found.withColumns({"n": F.lit(extent["n"]).cast("bigint"), "base": F.lit(float(extent["base"] or 0.0))})
+    full = full.withColumn("size", F.size("itemset"))
     least = F.lit(float(min_supp))
     if item_share:
         table = F.create_map(*[x for k, v in item_share.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -444,7 +457,7 @@ def mine(
     else:
         good = F.col("sums")[0] >= F.ceil(least * F.col("n") - 1e-9)
     out = cut(full.where(good).select("g", "itemset", "size", "sums", "n"))
-    for table in [stored, *([] if single else [rows, candidates])]:
+    for table in [*held_back, *([] if single else [rows, candidates])]:
         discard(table)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
@@ -459,14 +472,14 @@ def _counted(found: DataFrame, *extra: str) -> DataFrame:
     return found.select(*extra, "itemset", "size", count.alias("count"), (count / F.col("n")).alias("support"))
 
 
-def frequent_itemsets(baskets: DataFrame, min_supp: float, max_len: int | None = None, items: str = "items", group: str | None = None) -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, min_supp: float, max_len: int | None = None, items: str = "items", group: str | None = None, stored: bool = False) -> DataFrame:
     """``([group,] itemset, size, count, support)`` of all itemsets in at least ``min_supp`` of the baskets.
 
     ``baskets`` has one row per basket; items are de-duplicated, nulls dropped; empty and null baskets count.
     """
     check_share(min_supp)
     clean = baskets.withColumn(items, F.array_distinct(F.array_compact(F.coalesce(F.col(items), F.array().cast("array<string>")))))
-    return _counted(mine(clean, min_supp, items, group=group, max_len=max_len), *([group] if group else []))
+    return _counted(mine(clean, min_supp, items, group=group, max_len=max_len, stored=stored), *([group] if group else []))
 
 
 def fpgrowth(baskets: DataFrame, min_supp: float, items: str = "items") -> DataFrame:

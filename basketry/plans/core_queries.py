@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import BLANKS
 from ..operators import grid, hierarchy
-from . import reference_queries
+from . import reference_queries, transaction_queries
 
 _STRIP = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 
@@ -58,8 +58,8 @@ _P5 = f"""WITH RECURSIVE link AS (SELECT DISTINCT trim(child, {_STRIP}) AS child
      zero AS (SELECT down AS item, below.item AS root FROM below JOIN top USING (item) WHERE down IN (SELECT item FROM hung)
               UNION SELECT down, ring FROM below JOIN ring USING (item) UNION SELECT item, ring FROM ring)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_grid, p6_filled, p6_holdout)} | reference_queries.QUERIES
-ORACLE: dict[str, str] = reference_queries.ORACLE | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_grid, p6_filled, p6_holdout)} | reference_queries.QUERIES | transaction_queries.QUERIES
+ORACLE: dict[str, str] = reference_queries.ORACLE | transaction_queries.ORACLE | {
     "p6_found": f"""WITH cell AS (SELECT DISTINCT trim(house, {_STRIP}) AS house, CAST(floor(epoch(time) / 3600) AS BIGINT) * 3600 AS slot
                    FROM sensors WHERE time >= TIMESTAMPTZ '2020-01-01 00:00:00+00' AND temp BETWEEN -60 AND 70 AND trim(house, {_STRIP}) <> ''),
      run AS (SELECT house, slot, lead(slot) OVER (PARTITION BY house ORDER BY slot) AS nxt FROM cell)
