@@ -36,8 +36,11 @@ def window_size(text: str) -> int | timedelta:
 
 
 def train_rows(rows: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame]:
+    """The first share of the rows and the rest; both must have two rows at least."""
     n = rows.count()
     at = int(n * fraction)
+    if not 0 < fraction < 1 or at < 2 or n - at < 2:
+        raise ValueError(f"--train-fraction must lie in (0, 1) and leave two rows on each side of {n}")
     return rows.where(F.col("pos") < at), rows.where(F.col("pos") >= at)
 
 
@@ -138,7 +141,16 @@ def run_fuzzy_sequential(spark, a):
 
 
 def _normal(train: DataFrame, a) -> DataFrame:
-    return cut(temporal.temporal_association_rules(train, a.max_lag, a.min_supp, "confidence", a.min_threshold))
+    """Rules of the training rows; antecedents lie in the past, or in the same row if there is no lag."""
+    if a.max_lag > 0:
+        found = temporal.temporal_association_rules(train, a.max_lag, a.min_supp, "confidence", a.min_threshold, same_time_antecedent=False, exclude_persistence=a.exclude_persistence)
+    else:
+        found = rules.association_rules(itemsets.frequent_itemsets(train, a.min_supp), "confidence", a.min_threshold)
+    found = _significant(found, max(train.count() - a.max_lag, 1), a)
+    if a.single_consequent:
+        found = found.where(F.size("consequents") == 1)
+    found = cut(found)
+    return found if a.min_improvement is None else cut(rules.prune_unproductive_rules(found, a.min_improvement))
 
 
 def run_anomalies(spark, a):
@@ -157,13 +169,13 @@ def run_forecast(spark, a):
 
 def run_next_events(spark, a):
     s = cut(read.read_sequences(spark, a.file))
+    test = F.pmod(F.xxhash64("sid"), F.lit(1000)) < int(1000 * a.test_fraction)
     if a.history:
-        found = cut(sequences.sequential_rules(s, a.min_supp, a.min_threshold, a.max_antecedent, a.max_consequent))
+        found = cut(sequences.sequential_rules(s.where(~test), a.min_supp, a.min_threshold, a.max_antecedent, a.max_consequent))
         history = spark.createDataFrame([(0, [e.split(",") for e in a.history.split(";")])], "sid int, elements array<array<string>>")
         return action.predict_next_events(history, found)
     if not a.test_fraction:
         raise ValueError("next-events needs --history or --test-fraction")
-    test = F.pmod(F.xxhash64("sid"), F.lit(1000)) < int(1000 * a.test_fraction)
     train = s.where(~test)
     found = cut(sequences.sequential_rules(train, a.min_supp, a.min_threshold, a.max_antecedent, a.max_consequent))
     return action.evaluate_next_events(s.where(test), found, a.k, train=train)
@@ -262,6 +274,9 @@ def build_parser() -> argparse.ArgumentParser:
         if name == "sequential-rules":
             add("--veto", action="store_true")
         if name in ("anomalies", "forecast"):
+            add("--exclude-persistence", action="store_true")
+            add("--single-consequent", action="store_true")
+            add("--min-improvement", type=float)
             add("--train-fraction", type=float, default=0.5)
         if name == "anomalies":
             add("--min-score", type=float, default=0.0)

@@ -19,12 +19,13 @@ def _attributes(frame: DataFrame, attributes: Sequence[str] | None) -> list[str]
     return names
 
 
-def sign_patterns(frame: DataFrame, attributes: Sequence[str], max_rows: int | None = None, seed: int = 0, blocks: int = 16) -> tuple[DataFrame, int]:
+def sign_patterns(frame: DataFrame, attributes: Sequence[str], max_rows: int | None = None, seed: int = 0, block_rows: int = 4_000) -> tuple[DataFrame, int]:
     """``(signs array<int>, n)`` over all pairs of rows, and the number of rows.
 
     Equal rows are merged first and carry weights. The pairs of the remaining rows are compared block against
     block: each row is sent to the pairs of blocks that its own takes part in, so all cores share the work
-    and no task sees more than two blocks. The number of patterns is at most 3 to the number of attributes.
+    and no pair of blocks is more than some ``block_rows`` squared comparisons, whatever the number of rows. The
+    number of patterns is at most 3 to the number of attributes.
     """
     rows = frame.select(*[F.col(a).cast("double").alias(f"a{k}") for k, a in enumerate(attributes)]).dropna()
     total = rows.count()
@@ -32,8 +33,9 @@ def sign_patterns(frame: DataFrame, attributes: Sequence[str], max_rows: int | N
         rows = rows.orderBy(F.rand(seed)).limit(max_rows)
         total = max_rows
     names = [f"a{k}" for k in range(len(attributes))]
-    merged = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("w")).withColumn("key", F.xxhash64(*names)).withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    merged = I.cut(merged)
+    merged, distinct = I.cut_counted(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("w")).withColumn("key", F.xxhash64(*names)))
+    blocks = max(8, -(-distinct // block_rows))
+    merged = merged.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     left = merged.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), *[F.col(n).alias(f"l_{n}") for n in names], F.col("w").alias("lw"), F.col("key").alias("lk"))
     right = merged.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), *[F.col(n).alias(f"r_{n}") for n in names], F.col("w").alias("rw"), F.col("key").alias("rk"))
     once = (F.col("i") < F.col("j")) | (F.struct("lk", *[f"l_{n}" for n in names]) < F.struct("rk", *[f"r_{n}" for n in names]))

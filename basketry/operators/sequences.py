@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -181,21 +183,23 @@ def degree_matrix(elements: Sequence[Sequence[dict]]) -> dict[str, np.ndarray]:
     return out
 
 
+def _together(table: dict[str, np.ndarray], items: Sequence[str], norm: Callable) -> np.ndarray | None:
+    """Joint degree of items by position, None if one of them is nowhere."""
+    return reduce(norm, [table[i] for i in items]) if all(i in table for i in items) else None
+
+
+def _so_far(x: np.ndarray, strictly: bool = False) -> np.ndarray:
+    """The largest value up to each position, or strictly before it (0 at the first)."""
+    top = np.maximum.accumulate(x)
+    return np.concatenate([[0.0], top[:-1]]) if strictly else top
+
+
 def _ends(table: dict[str, np.ndarray], pattern: Pattern, norm: Callable, n: int) -> np.ndarray | None:
     """Best degree of a pattern by the position of its last element."""
-    best = None
-    for element in pattern:
-        degree = None
-        for item in element:
-            if item not in table:
-                return None
-            degree = table[item] if degree is None else norm(degree, table[item])
-        if best is None:
-            best = degree
-        else:
-            allowed = np.concatenate([[0.0], np.maximum.accumulate(best)[:-1]])
-            best = norm(allowed, degree)
-    return best
+    rows = [_together(table, element, norm) for element in pattern]
+    if not rows or any(r is None for r in rows):
+        return None
+    return reduce(lambda done, row: norm(_so_far(done, True), row), rows)
 
 
 def fuzzy_pattern_degree(elements: Sequence[Sequence[dict]], pattern: Pattern, tnorm: str = "min") -> float:
@@ -203,10 +207,19 @@ def fuzzy_pattern_degree(elements: Sequence[Sequence[dict]], pattern: Pattern, t
     return float(best.max()) if best is not None and len(best) else 0.0
 
 
+def _one_less(pattern: Pattern) -> Iterator[Pattern]:
+    """The pattern without one of its items, for each of them."""
+    for at, element in enumerate(pattern):
+        for k in range(len(element)):
+            left = (*element[:k], *element[k + 1 :])
+            yield (*pattern[:at], *([left] if left else []), *pattern[at + 1 :])
+
+
 def fuzzy_prefixspan(sequences: DataFrame, min_supp: float, max_len: int | None = 4, min_len: int = 1, tnorm: str = "min", itemset_elements: bool = False) -> DataFrame:
     """``(sequence array<array<string>>, length, support)``: mean best degree over all sequences.
 
-    Level by level: patterns grow at their end by one item; sums of degrees per candidate are all that leaves a task.
+    Level by level: patterns grow at their end by one item, and a candidate is counted only if every pattern that
+    lacks one of its items is frequent; sums of degrees per candidate are all that leaves a task.
     """
     I.check_share(min_supp)
     norm = _norm(tnorm)
@@ -229,7 +242,7 @@ def fuzzy_prefixspan(sequences: DataFrame, min_supp: float, max_len: int | None
                             best = _ends(table, head, norm, len(elements or []))
                             if best is None or not best.any():
                                 continue
-                            allowed = np.concatenate([[0.0], np.maximum.accumulate(best)[:-1]])
+                            allowed = _so_far(best, True)
                         for k in members:
                             tail = _ends(table, patterns[k][-1:], norm, len(elements or []))
                             if tail is not None:
@@ -250,6 +263,7 @@ def fuzzy_prefixspan(sequences: DataFrame, min_supp: float, max_len: int | None
         new = [(*p, (i,)) for p in level for i in singles]
         if itemset_elements:
             new += [(*p[:-1], (*p[-1], i)) for p in level for i in singles if i > p[-1][-1]]
+        new = [p for p in new if all(q in level for q in _one_less(p))]
         level = good(degrees(sorted(new))) if new else {}
         found |= level
         size += 1
@@ -263,18 +277,12 @@ def fuzzy_rule_degree(elements: Sequence[Sequence[dict]], antecedent: Sequence[s
 
 
 def _rule_degree(table, antecedent, consequent, norm) -> float:
-    before = after = None
-    for i in antecedent:
-        if i not in table:
-            return 0.0
-        upto = np.maximum.accumulate(table[i])
-        before = upto if before is None else norm(before, upto)
-    for i in consequent:
-        if i not in table:
-            return 0.0
-        later = np.append(np.maximum.accumulate(table[i][::-1])[::-1][1:], 0.0)
-        after = later if after is None else norm(after, later)
-    return float(norm(before, after).max())
+    if not all(i in table for i in (*antecedent, *consequent)):
+        return 0.0
+    begun = reduce(norm, [_so_far(table[i]) for i in antecedent])
+    # read backwards, what is still to come is what has been
+    to_come = reduce(norm, [_so_far(table[i][::-1], True)[::-1] for i in consequent])
+    return float(norm(begun, to_come).max())
 
 
 def fuzzy_sequential_rules(sequences: DataFrame, min_supp: float, min_conf: float = 0.8, max_antecedent: int = 2, max_consequent: int = 2, metric: str = "confidence", min_threshold: float = 0.0, tnorm: str = "min") -> DataFrame:
@@ -289,14 +297,18 @@ def fuzzy_sequential_rules(sequences: DataFrame, min_supp: float, min_conf: floa
     found = cut(found.select("itemset", (F.col("sums")[0] / F.col("n")).alias("support")))
     wanted = [(tuple(r["antecedents"]), tuple(r["consequents"])) for r in splits(found, []).where((F.size("antecedents") <= max_antecedent) & (F.size("consequents") <= max_consequent)).collect()]
 
+    by_items: dict[tuple[str, str], list[int]] = {}
+    for k, (a, c) in enumerate(wanted):
+        by_items.setdefault((a[0], c[0]), []).append(k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(wanted))
         for batch in batches:
             for elements in batch.column(0).to_pylist():
                 table = degree_matrix(elements or [])
-                for k, (a, c) in enumerate(wanted):
-                    if a[0] in table and c[0] in table:
-                        sums[k] += _rule_degree(table, a, c, norm)
+                for both in permutations(table, 2):  # of all rules those that begin with items of this sequence
+                    for k in by_items.get(both, ()):
+                        sums[k] += _rule_degree(table, *wanted[k], norm)
         hit = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([wanted[k][0] for k in hit], pa.list_(pa.string())), pa.array([wanted[k][1] for k in hit], pa.list_(pa.string())), pa.array(sums[hit])], names=["antecedents", "consequents", "n"])
 
