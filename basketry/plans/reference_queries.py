@@ -15,6 +15,7 @@ from ..operators.graph import RuleGraph
 from ..operators.order import number_rows
 from ..session import cut
 from ..streaming.windows import BatchWindow
+from .transaction_queries import SPLITS_SQL, levels_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -679,7 +680,11 @@ _LAG1 = f"""WITH {_H}, g AS (SELECT pos, item AS x FROM i UNION ALL SELECT pos +
    two AS (SELECT x.item AS a, y.item AS c, count(*) AS k FROM b x JOIN b y ON x.tid = y.tid AND x.item <> y.item GROUP BY ALL)"""
 
 
-@query(f"""{_LAG1} SELECT a AS antecedents, c AS consequents, round(two.k / (SELECT n FROM m), 6) AS support, round(two.k / o.k, 6) AS confidence, 1 AS max_lag FROM two JOIN one o ON o.item = a WHERE a LIKE '%@lag1' AND c NOT LIKE '%@lag1' AND two.k >= ceil(0.05 * (SELECT n FROM m) - 1e-9) AND o.k >= ceil(0.05 * (SELECT n FROM m) - 1e-9) AND two.k / o.k >= 0.3""")
+_LAGGED = f"WITH lagged AS ({_LAG1} SELECT tid, item FROM b), hours AS ({_LAG1} SELECT n FROM m), b AS (SELECT * FROM lagged), n AS (SELECT n FROM hours){levels_sql(0.05, 10)}, {SPLITS_SQL}"
+
+
+@query(f"""{_LAGGED} SELECT array_to_string(a, '|') AS antecedents, array_to_string(c, '|') AS consequents, round(sab, 6) AS support, round(sab / sa, 6) AS confidence, 1 AS max_lag FROM r
+   WHERE sab / sa >= 0.3 AND list_has_any(list_transform(a, lambda x: x LIKE '%@lag1'), [true]) AND NOT list_has_any(list_transform(c, lambda x: x LIKE '%@lag1'), [true])""")
 def temporal_rules(spark, d):
     r = temporal.temporal_association_rules(hourly(spark, d), 1, 0.05, "confidence", 0.3)
     return _rules_out(r.select("antecedents", "consequents", "support", "confidence", "max_lag"), "max_lag")

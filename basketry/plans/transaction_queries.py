@@ -78,13 +78,18 @@ def _fi(share: float, longest: int = 6) -> str:
     return ", ".join(steps) + f", fi AS (SELECT itemset, k, k / (SELECT n FROM n)::DOUBLE AS s FROM ({every}))"
 
 
-_SPLITS = """split AS (SELECT itemset, s, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS a, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS c
+SPLITS_SQL = """split AS (SELECT itemset, s, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS a, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS c
        FROM (SELECT itemset, s, unnest(range(1, (2 ** len(itemset))::BIGINT - 1)) AS mask FROM fi WHERE len(itemset) > 1)),
      r AS (SELECT split.a, split.c, split.s AS sab, x.s AS sa, y.s AS sb FROM split JOIN fi x ON x.itemset = split.a JOIN fi y ON y.itemset = split.c)"""
 _SIDES = "array_to_string(a, '|') AS antecedents, array_to_string(c, '|') AS consequents"
 _SET = "array_to_string(itemset, '|') AS itemset, len(itemset)::INT AS size, k AS count, round(s, 6) AS support"
 
 
+def levels_sql(share: float, longest: int) -> str:
+    """What :func:`_fi` adds to tables ``b(tid, item)`` and ``n(n)``."""
+    return _fi(share, longest)[len(_B) :]
+
+
 def found(spark, d, share=LOW) -> DataFrame:
     return itemsets.frequent_itemsets(shop_baskets(spark, d), share)
 
@@ -182,22 +187,22 @@ _MEASURES = {
 }
 
 
-@query(f"WITH {_fi(SUPP)}, {_SPLITS} SELECT {_SIDES}, {', '.join(f'round({x}, 6) AS {c}' for c, x in _MEASURES.items())} FROM r WHERE sab / sa >= 0.25")
+@query(f"WITH {_fi(SUPP)}, {SPLITS_SQL} SELECT {_SIDES}, {', '.join(f'round({x}, 6) AS {c}' for c, x in _MEASURES.items())} FROM r WHERE sab / sa >= 0.25")
 def shop_rules(spark, d):
     return _out(rules.association_rules(found(spark, d, SUPP), "confidence", 0.25), "antecedents", "consequents", *_MEASURES)
 
 
-@query(f"WITH {_fi(SUPP)}, {_SPLITS} SELECT {_SIDES}, round(sab / sa / sb, 6) AS lift FROM r WHERE sab / sa / sb >= 2")
+@query(f"WITH {_fi(SUPP)}, {SPLITS_SQL} SELECT {_SIDES}, round(sab / sa / sb, 6) AS lift FROM r WHERE sab / sa / sb >= 2")
 def shop_rules_by_lift(spark, d):
     return _out(rules.association_rules(found(spark, d, SUPP), "lift", 2.0), "antecedents", "consequents", "lift")
 
 
-@query(f"WITH {_fi(SUPP)}, {_SPLITS} SELECT {_SIDES}, round(sab, 6) AS support, round(sab / sa, 6) AS confidence FROM r WHERE sab / sa >= 0.4 ORDER BY sab DESC, sab / sa DESC, a, c LIMIT 25")
+@query(f"WITH {_fi(SUPP)}, {SPLITS_SQL} SELECT {_SIDES}, round(sab, 6) AS support, round(sab / sa, 6) AS confidence FROM r WHERE sab / sa >= 0.4 ORDER BY sab DESC, sab / sa DESC, a, c LIMIT 25")
 def shop_top_k_rules(spark, d):
     return _out(rules.top_k_rules(shop_baskets(spark, d), 25, 0.4, max_len=None, min_supp=SUPP), "antecedents", "consequents", "support", "confidence")
 
 
-@query(f"""WITH {_fi(SUPP)}, {_SPLITS}, base AS (SELECT a, c, sab / sa AS conf FROM r WHERE sab / sa >= 0.3)
+@query(f"""WITH {_fi(SUPP)}, {SPLITS_SQL}, base AS (SELECT a, c, sab / sa AS conf FROM r WHERE sab / sa >= 0.3)
    SELECT {_SIDES}, round(conf, 6) AS confidence FROM base x WHERE NOT EXISTS (SELECT 1 FROM base y WHERE y.c = x.c AND len(y.a) < len(x.a) AND list_has_all(x.a, y.a) AND x.conf - y.conf <= 1e-12)""")
 def shop_productive(spark, d):
     return _out(rules.prune_unproductive_rules(cut(rules.association_rules(found(spark, d, SUPP), "confidence", 0.3))), "antecedents", "consequents", "confidence")
@@ -213,7 +218,7 @@ def shop_negative_rules(spark, d):
     return _out(rules.negative_association_rules(shop_baskets(spark, d), 0.08, min_threshold=0.9, max_len=2), "antecedents", "consequents", "support", "confidence")
 
 
-_COMMON = f"{_fi(0.02, 3)}, {_SPLITS}, common AS (SELECT a, c[1] AS cons, sab, sab / sa AS conf FROM r WHERE len(c) = 1 AND sab / sa >= 0.3), tb AS (SELECT tid, list(item) AS items FROM b GROUP BY tid)"
+_COMMON = f"{_fi(0.02, 3)}, {SPLITS_SQL}, common AS (SELECT a, c[1] AS cons, sab, sab / sa AS conf FROM r WHERE len(c) = 1 AND sab / sa >= 0.3), tb AS (SELECT tid, list(item) AS items FROM b GROUP BY tid)"
 _HIT = "hit AS (SELECT a, cons, sab, conf, tid, list_contains(items, cons) AS kept FROM common JOIN b f ON f.item = a[1] JOIN tb USING (tid) WHERE list_has_all(items, a))"
 
 
@@ -239,7 +244,7 @@ def shop_anomalies(spark, d):
     return _out(rules.anomalous_rules(b, min_anomalous_supp=0.005, min_anomalous_conf=0.2, max_reference_conf=0.5, rules=common))
 
 
-_P = f"""{_fi(0.02, 3)}, {_SPLITS}, q AS (SELECT {_SIDES}, round(sab * n)::BIGINT AS ac, round(sa * n)::BIGINT AS ka, round(sb * n)::BIGINT AS kc, n AS nn FROM r, n)"""
+_P = f"""{_fi(0.02, 3)}, {SPLITS_SQL}, q AS (SELECT {_SIDES}, round(sab * n)::BIGINT AS ac, round(sa * n)::BIGINT AS ka, round(sb * n)::BIGINT AS kc, n AS nn FROM r, n)"""
 _TERM = "exp(lgamma(ka + 1) - lgamma(i + 1) - lgamma(ka - i + 1) + lgamma(nn - ka + 1) - lgamma(kc - i + 1) - lgamma(nn - ka - kc + i + 1) - lgamma(nn + 1) + lgamma(kc + 1) + lgamma(nn - kc + 1))"
 
 
@@ -310,12 +315,12 @@ _WINDOW = f"""WITH d AS (SELECT tid, min(day) AS day FROM transactions WHERE tid
    b AS (SELECT DISTINCT tid, trim(i, {_STRIP}) AS item FROM (SELECT tid, unnest(items) AS i FROM transactions WHERE tid IN (SELECT tid FROM w)) WHERE trim(i, {_STRIP}) <> '')"""
 
 
-@query(f"{_WINDOW}{_fi(0.02, 4)[len(_B):]} SELECT array_to_string(itemset, '|') AS itemset, k AS count, round(s, 6) AS support FROM fi")
+@query(f"{_WINDOW}{levels_sql(0.02, 4)} SELECT array_to_string(itemset, '|') AS itemset, k AS count, round(s, 6) AS support FROM fi")
 def shop_stream_itemsets(spark, d):
     return _out(_fed(spark, d).itemsets(), "itemset", "count", "support")
 
 
-@query(f"{_WINDOW}{_fi(0.02, 4)[len(_B):]}, {_SPLITS} SELECT {_SIDES}, round(sab, 6) AS support, round(sab / sa, 6) AS confidence FROM r WHERE sab / sa >= 0.3")
+@query(f"{_WINDOW}{levels_sql(0.02, 4)}, {SPLITS_SQL} SELECT {_SIDES}, round(sab, 6) AS support, round(sab / sa, 6) AS confidence FROM r WHERE sab / sa >= 0.3")
 def shop_stream_rules(spark, d):
     return _out(_fed(spark, d).rules(min_threshold=0.3), "antecedents", "consequents", "support", "confidence")
 
