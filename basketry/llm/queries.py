@@ -94,7 +94,10 @@ _EVENTS = f"""events_ AS (
 
 ORACLE: dict[str, str] = {
     "p1_found": f"{_PAIRS} SELECT item_a, item_b FROM found WHERE lift >= 3",
-    "p1_pairs": f"{_PAIRS} SELECT item_a, item_b, pair_count, count_a, count_b, baskets, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi FROM found",
+    "p1_pairs": f"""WITH {_BASKETS}, single AS (SELECT item, count(*) AS n FROM names GROUP BY item),
+     pair AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS k FROM names a JOIN names b ON a.tid = b.tid AND a.item < b.item GROUP BY 1, 2),
+     every AS (SELECT item_a, item_b, k, x.n AS na, y.n AS nb, total.n AS n, CAST(k AS DOUBLE) * total.n / (CAST(x.n AS DOUBLE) * y.n) AS lift FROM pair JOIN single x ON x.item = item_a JOIN single y ON y.item = item_b, total)
+     SELECT item_a, item_b, k AS pair_count, na AS count_a, nb AS count_b, n AS baskets, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi FROM every""",
     "p3_found": f"WITH {_BASKETS} SELECT item FROM names GROUP BY item HAVING count(*) >= ceil(0.005 * (SELECT count(*) FROM names) - 1e-9)",
     "p3_counts": f"WITH {_BASKETS} SELECT item, count(*) AS occurrences, (SELECT count(*) FROM names) AS total FROM names GROUP BY item HAVING count(*) >= ceil(0.005 * (SELECT count(*) FROM names) - 1e-9)",
     "p2_found": """WITH one AS (SELECT rule_id, min(confidence) AS confidence, min(lift) AS lift FROM rules WHERE rule_id IS NOT NULL GROUP BY rule_id),
