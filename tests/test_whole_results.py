@@ -150,7 +150,7 @@ def test_p5_paths(spark, tmp_path):
         want.add(path)
         todo += [(*path, c) for c, p in links if p == path[-1] and c not in "uv"]
     rows = core_queries.p5_paths(spark, str(tmp_path)).collect()
-    got = [tuple(r["path"]) for r in rows if r["path"]]
+    got = [tuple(r["path"].split("|")) for r in rows if r["path"]]
     assert len(got) == len(set(got)) and set(got) == want
     assert all(r["depth"] == max(len(p) for p in want if (p[0], p[-1]) == (r["root"], r["item"])) for r in rows if r["path"])
     assert {(r["item"], r["root"], r["depth"], r["on_ring"]) for r in rows if not r["path"]} == {(i, r, 0, True) for i in "uv" for r in ("n0", "z", "u")}
