@@ -7,7 +7,6 @@ from itertools import combinations
 
 import pytest
 
-from basketry.llm import queries as llm_queries
 from basketry.operators import sequences, significance
 from basketry.plans import core_queries
 from basketry.plans import reference_queries as q
@@ -156,14 +155,6 @@ def test_p5_paths(spark, tmp_path):
     assert {(r["item"], r["root"], r["depth"], r["on_ring"]) for r in rows if not r["path"]} == {(i, r, 0, True) for i in "uv" for r in ("n0", "z", "u")}
 
 
-def test_p1_pairs(spark, tmp_path):
-    baskets = ["abc", "ab", "ac", "d"]
-    spark.createDataFrame([(k, list(b)) for k, b in enumerate(baskets)], "tid long, items array<string>").write.parquet(f"{tmp_path}/transactions.parquet")
-    want = {(x, y, sum(x in b and y in b for b in baskets)) for x, y in combinations("abcd", 2) if any(x in b and y in b for b in baskets)}
-    got = [(r["item_a"], r["item_b"], r["pair_count"]) for r in llm_queries.p1_pairs(spark, str(tmp_path)).collect()]
-    assert len(got) == len(want) and set(got) == want
-
-
 def test_stream_window(spark, tmp_path, monkeypatch):
     added = []
     add = q.BatchWindow.add
