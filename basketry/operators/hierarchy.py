@@ -4,22 +4,47 @@ Level-wise frontier joins throughout: a level joins the rows that are new since
 nothing else moves. The links are stored once in buckets of their parent, so a level sorts and shuffles only its
 frontier; parents with many children are salted over several buckets, and items without children leave the
 frontier at once. Each level is a table in the shared scratch folder, so an executor's loss costs a level at most.
-Row counts are all that comes to the driver, and nothing is broadcast.
+Row counts are all that comes to the driver.
+
+A level is a job, and the driver's memory grows with jobs. Without paths, links are therefore first told apart by
+what hangs together: what has at most :data:`PIECE` rows is read by one task and followed there, however deep it is;
+only what is larger goes down level by level. The names of the larger ones (at most one for each :data:`PIECE` rows)
+are all that is broadcast.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name
-from ..session import cut, cut_counted, scratch_dir, together
+from ..session import cut, cut_counted, discard, scratch_dir, together
 
 #: Links of a bucket, and children of a parent from which on it is spread over several buckets.
 BUCKET, HOT = 250_000, 100_000
+#: Rows that hang together and are still followed by one task; names that a task joins at a time.
+PIECE, JOINED = 250_000, 500_000
+#: Rows of a batch that a task gives.
+BATCH = 10_000
+
+_ROWS = "item string, root string, depth bigint, on_ring boolean"
+
+
+def _clean(pairs: DataFrame, child: str, parent: str) -> tuple[DataFrame, int]:
+    """Distinct ``(child, parent)`` with stripped names, and their number; the parent may be void, the child may not."""
+    return cut_counted(pairs.select(clean_name(F.col(child)).alias("child"), clean_name(F.col(parent)).alias("parent")).where(F.col("child").isNotNull()).distinct())
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(links, items)`` of the rows of :func:`_clean`."""
+    return rows.where(F.col("parent").isNotNull()), rows.select(F.explode(F.array_distinct(F.array_compact(F.array("child", "parent")))).alias("item")).distinct()
 
 
 def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent") -> tuple[DataFrame, DataFrame]:
@@ -27,9 +52,7 @@ def clean_links(pairs: DataFrame, child: str = "child", parent: str = "parent")
 
     Rows with a void child are ignored; a void parent states no parent, but the child is an item.
     """
-    rows = cut(pairs.select(clean_name(F.col(child)).alias("child"), clean_name(F.col(parent)).alias("parent")).where(F.col("child").isNotNull()).distinct())
-    links = rows.where(F.col("parent").isNotNull())
-    return links, rows.select(F.explode(F.array_distinct(F.array_compact(F.array("child", "parent")))).alias("item")).distinct()
+    return _split(_clean(pairs, child, parent)[0])
 
 
 class _Links:
@@ -176,6 +199,147 @@ def rings(links: DataFrame, hung: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("item").agg(F.min("ring").alias("ring"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of each run of links, ``(item, component)``: the smallest name that the item hangs together with, if not its own."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def told() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, y) for x in above if (y := top(x)) != x]
+        for k in range(0, len(pairs), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs[k : k + BATCH])], ["item", "component"])
+
+    for batch in batches:
+        for child, parent in zip(*(c.to_pylist() for c in batch.columns)):
+            above.setdefault(child, child)
+            above.setdefault(parent, parent)
+            low, high = sorted((top(child), top(parent)))
+            above[high] = low
+        if len(above) >= size:
+            yield from told()
+            above.clear()
+    yield from told()
+
+
+def components(links: DataFrame, number: int) -> DataFrame:
+    """``(item, component)``: the smallest name that hangs together with the item, for items of which it is not the own name.
+
+    ``number``: of the links, about. Tasks join what they read; what is left is joined in rounds. In each, every item
+    ties its larger neighbours to the smallest around it, and then its smaller ones, which shortens all ways at once.
+    """
+    size = JOINED
+    dealt = links.where("child <> parent").select("child", "parent").repartition(1 + 2 * number // size, "child")
+    table, moved = cut_counted(dealt.mapInArrow(lambda batches: _joined(batches, size), "item string, component string"))
+    while moved:
+        both = table.select("item", "component").union(table.select("component", "item")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        tied = both.where("v > u").join(least.hint("merge"), "u").groupBy(F.col("v").alias("item"), F.col("low").alias("to")).agg(F.max(F.col("low") < F.col("u")).alias("moved"))
+        least = tied.groupBy("item").agg(F.min("to").alias("component"), (F.count(F.lit(1)) > 1).alias("several"))
+        tied = tied.join(least.hint("merge"), "item").withColumn("moved", F.col("moved") | F.col("several"))
+        tied = tied.select(F.explode(F.array("item", "to")).alias("item"), "component", "moved").where("item <> component")
+        done, (table, moved) = table, cut_counted(tied.groupBy("item", "component").agg(F.max("moved").alias("moved")), F.count_if("moved"))
+        discard(done)
+    return table.select("item", "component")
+
+
+def _tagged(rows: DataFrame, number: int) -> DataFrame:
+    """Rows of :func:`_clean` with the ``component`` that they belong to."""
+    known = components(rows.where(F.col("parent").isNotNull()), number).withColumnRenamed("item", "child")
+    return rows.join(known.hint("merge"), "child", "left").select(F.coalesce("component", "child").alias("component"), "child", "parent")
+
+
+def _closed(below: list[list[int]], hung: list[int]) -> dict[int, int]:
+    """Items of rings among the hung ones, with the smallest of their ring."""
+    above: dict[int, list[int]] = {i: [] for i in hung}
+    for i in hung:
+        for c in below[i]:
+            above[c].append(i)
+    finished, seen = [], set()
+    for i in hung:
+        if i in seen:
+            continue
+        seen.add(i)
+        todo = [(i, iter(below[i]))]
+        while todo:
+            c = next((c for c in todo[-1][1] if c not in seen), None)
+            if c is None:
+                finished.append(todo.pop()[0])
+            else:
+                seen.add(c)
+                todo.append((c, iter(below[c])))
+    ring: dict[int, int] = {}
+    for i in reversed(finished):
+        if i in seen:
+            seen.discard(i)
+            own = [i]
+            for x in own:
+                new = {p for p in above[x] if p in seen}
+                seen -= new
+                own += new
+            if len(own) > 1 or i in below[i]:
+                ring |= dict.fromkeys(own, min(own))
+    return ring
+
+
+def _followed_piece(rows: list[tuple[str, str | None]]) -> Iterator[tuple[str, str, int, bool]]:
+    """The rows of :func:`hierarchy` of all links that hang together; memory is in proportion to the links."""
+    names = sorted({x for row in rows for x in row if x is not None})
+    number = {x: k for k, x in enumerate(names)}
+    below: list[list[int]] = [[] for _ in names]
+    need = [0] * len(names)
+    for child, parent in rows:
+        if parent is not None:
+            below[number[parent]].append(number[child])
+            need[number[child]] += 1
+    order = [i for i, n in enumerate(need) if not n]
+    roots = len(order)
+    for i in order:
+        for c in below[i]:
+            need[c] -= 1
+            if not need[c]:
+                order.append(c)
+    place = [-1] * len(names)
+    for k, i in enumerate(order):
+        place[i] = k
+    ring = _closed(below, [i for i, k in enumerate(place) if k < 0])
+    for root in [*order[:roots], *sorted(set(ring.values()))]:
+        reached, seen = [root], {root}
+        for i in reached:
+            for c in below[i]:
+                if c not in seen:
+                    seen.add(c)
+                    reached.append(c)
+        depth = {root: 1}
+        for k in sorted(place[i] for i in reached if place[i] >= 0):
+            step = depth[order[k]] + 1
+            for c in below[order[k]]:
+                if step > depth.get(c, 0):
+                    depth[c] = step
+        for i in reached:
+            yield names[i], names[root], depth[i] if place[i] >= 0 else 0, i in ring
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`hierarchy` of ``(component, child, parent)`` sorted by component."""
+    links = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    kinds = {"item": pa.string(), "root": pa.string(), "depth": pa.int64(), "on_ring": pa.bool_()}
+    out: list[tuple] = []
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds.values())], list(kinds))
+    for _, own in groupby(links, itemgetter(0)):
+        for row in _followed_piece([x[1:] for x in own]):
+            out.append(row)
+            if len(out) == BATCH:
+                yield give()
+                out.clear()
+    if out:
+        yield give()
+
+
 def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True, every: bool = False) -> DataFrame:
     """``(item, root, depth bigint, on_ring boolean[, path array<string>])``: one row per item and root above it.
 
@@ -187,7 +351,21 @@ def hierarchy(pairs: DataFrame, child: str = "child", parent: str = "parent", pa
     too, depth is 0 in all their rows and ``path`` null. ``on_ring`` says whether the item is in a ring.
     Void children and repeated rows count for nothing; an empty table gives no rows; other columns are not read.
     """
-    links, items = clean_links(pairs, child, parent)
+    rows, number = _clean(pairs, child, parent)
+    if paths:
+        return _levels(rows, True, every)
+    tagged = cut(_tagged(rows, number))
+    large, count = cut_counted(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE).select("component"))
+    small = tagged.join(F.broadcast(large), "component", "left_anti") if count else tagged
+    out = small.repartition("component").sortWithinPartitions("component").select("component", "child", "parent").mapInArrow(_followed, _ROWS)
+    if count:
+        out = out.unionByName(_levels(tagged.join(F.broadcast(large), "component", "left_semi").select("child", "parent"), False, False))
+    return out
+
+
+def _levels(rows: DataFrame, paths: bool, every: bool) -> DataFrame:
+    """:func:`hierarchy` of the rows of :func:`_clean`, level by level."""
+    links, items = _split(rows)
     roots = items.join(links.select(F.col("child").alias("item")), "item", "left_anti")
     ways, freed = _Links(links).descend(roots, paths)
     hung, ringed = cut_counted(items.join(freed.hint("merge"), "item", "left_anti"))
