@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from itertools import permutations
+from functools import lru_cache, reduce
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import measure, with_measures
-from ..session import cut, sized
+from ..session import cut, cut_counted, sized, spread
 from . import itemsets as I
 from .rules import splits
 
@@ -316,21 +318,27 @@ def fuzzy_sequential_rules(sequences: DataFrame, min_supp: float, min_conf: floa
     return _finish(valid, found, total, min_conf, metric, min_threshold)
 
 
+#: Elements of equal sequences that are permuted by one task at a time, numbers that it holds of them, and counters of
+#: rules by permutations; further rules take another pass.
+PIECE, CELLS, COUNTERS = 200_000, 1 << 20, 2_000_000
+
+
 def sequential_rule_significance(sequences: DataFrame, rules: DataFrame, n_permutations: int = 200, correction: str = "fdr_bh", seed: int = 0) -> DataFrame:
     """``rules`` with ``p_value`` and ``p_adjusted``: how often a random order of each sequence's elements supports
-    them as much. All permutations are one plan, with the permutation as a key."""
+    them as much.
+
+    Of a sequence matter the elements with items of the rules. Equal sequences are one row with their number, and so
+    are, for the permutations, those of the same elements in whatever order. A task permutes its rows itself and
+    passes on sums by rule and permutation, so what is shuffled or stored does not grow with the permutations of events.
+    """
     from .significance import adjust_pvalues
 
-    wanted = rules.select("antecedents", "consequents")
-    real = _valid_counts(sequences.withColumn("perm", F.lit(-1)), wanted)
-    perms = sequences.select("sid", F.shuffle(clean_elements(F.col(ELEMENTS)), seed).alias(ELEMENTS), F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
-    perms = perms.select("sid", "perm", F.shuffle(ELEMENTS, seed + 1).alias(ELEMENTS))
-    null = _valid_counts(perms, wanted).select("antecedents", "consequents", F.col("n").alias("m"))
-    observed = wanted.join(real.select("antecedents", "consequents", "n"), ["antecedents", "consequents"], "left").fillna(0, ["n"])
-    hits = observed.join(null, ["antecedents", "consequents"], "left").groupBy("antecedents", "consequents", "n").agg(F.count_if(F.col("m") >= F.col("n")).alias("reached"))
-    # permutations without the rule have no row: they reach only a count of zero
-    reached = F.when(F.col("n") == 0, n_permutations).otherwise(F.col("reached"))
-    p = hits.select("antecedents", "consequents", ((1 + reached) / (1 + n_permutations)).alias("p_value"))
+    if n_permutations < 1:
+        raise ValueError("n_permutations must be positive")
+    wanted, total = cut_counted(rules.select("antecedents", "consequents").distinct().withColumn("k", F.monotonically_increasing_id()))
+    blocks = max(1, math.ceil(total * max(n_permutations, 200) / COUNTERS))
+    tested = [_permuted(sequences, wanted.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b), n_permutations, seed) for b in range(blocks)]
+    p = reduce(DataFrame.unionByName, tested)
     return adjust_pvalues(rules.join(p, ["antecedents", "consequents"]), correction)
 
 
@@ -338,9 +346,105 @@ def significant_sequential_rules(sequences: DataFrame, rules: DataFrame, alpha:
     return sequential_rule_significance(sequences, rules, n_permutations, correction, seed).where(F.col("p_adjusted") <= alpha)
 
 
-def _valid_counts(sequences: DataFrame, rules: DataFrame) -> DataFrame:
-    keyed = sequences.select(F.struct("perm", "sid").alias("sid"), ELEMENTS)
-    rows = first_last(keyed).select(F.col("sid.perm").alias("perm"), "items", "firsts", "lasts")
-    hit = rows.select("*", F.explode("items").alias("lead")).join(sized(rules.withColumn("lead", F.element_at("antecedents", 1))), "lead").where(F.size(F.array_except(F.array_union("antecedents", "consequents"), "items")) == 0)
-    expires = F.array_min(F.transform("consequents", lambda i: _at("lasts", i)))
-    return hit.where(_completed("antecedents") < expires).groupBy("perm", "antecedents", "consequents").agg(F.count(F.lit(1)).alias("n"))
+def _permuted(sequences: DataFrame, rules: DataFrame, n_permutations: int, seed: int) -> DataFrame:
+    """``(antecedents, consequents, p_value)`` of a block of rules ``(k, antecedents, consequents)``."""
+    held = sorted(((r["antecedents"], r["consequents"], r["k"]) for r in rules.collect()), key=str)
+    items = sorted({i for a, c, _ in held for i in (*a, *c) if i is not None})
+    known = F.filter(F.transform(clean_elements(F.col(ELEMENTS)), lambda e: F.filter(e, lambda i: i.isin(items))), lambda e: F.size(e) > 0)
+    rows = cut(sequences.select(known.alias("e")).where(F.size("e") > 1).groupBy("e").agg(F.count(F.lit(1)).alias("w")))
+    piece = F.greatest(F.lit(1), F.floor(F.lit(PIECE) / F.size("e")))
+    alike = rows.groupBy(F.array_sort("e").alias("e")).agg(F.sum("w").alias("w")).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("w") - 1) / piece))))
+    alike = cut(alike.select("e", F.least(piece, F.col("w") - F.col("at") * piece).cast("bigint").alias("w"), F.xxhash64("e", "at").alias("key")))
+
+    by_lead: dict[str, dict[str, list[int]]] = {}
+    for at, (a, c, _) in enumerate(held):
+        if a and c:
+            by_lead.setdefault(a[0], {}).setdefault(c[0], []).append(at)
+
+    def inside(elements: list[list[str]]) -> list[int]:
+        """Rules whose items are all in a sequence."""
+        there = {i for e in elements for i in e}
+        leads = [k for a in there & by_lead.keys() for c in there & by_lead[a].keys() for k in by_lead[a][c]]
+        return sorted(k for k in leads if there.issuperset(held[k][0]) and there.issuperset(held[k][1]))
+
+    def count(batches: Iterator[pa.RecordBatch], width: int, of: Callable) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(held), width), np.int64)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                for row in zip(*(c.to_pylist() for c in batch.slice(begin, 1000).columns), strict=True):
+                    if met := inside(row[0]):
+                        sums[met] += of([held[k][:2] for k in met], *row)
+        k, perm = np.nonzero(sums)
+        ids = np.array([k for _, _, k in held], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(perm, pa.int32()), pa.array(sums[k, perm])], names=["k", "perm", "n"])
+
+    real = lambda batches: count(batches, 1, lambda met, e, w: w * _as_it_is(met, e))
+    null = lambda batches: count(batches, n_permutations, lambda met, e, w, key: _at_random(met, e, w, n_permutations, np.random.default_rng([seed & _WORD, key & _WORD])))
+    kinds = "k bigint, perm int, n bigint"
+    observed = rules.join(spread(rows).mapInArrow(real, kinds).groupBy("k").agg(F.sum("n").alias("n")), "k", "left").fillna(0, ["n"])
+    drawn = spread(alike).mapInArrow(null, kinds).groupBy("k", "perm").agg(F.sum("n").alias("m"))
+    hits = observed.join(drawn, "k", "left").groupBy("antecedents", "consequents", "n").agg(F.count_if(F.col("m") >= F.col("n")).alias("reached"))
+    # permutations without the rule have no row: they reach only a count of zero
+    reached = F.when(F.col("n") == 0, n_permutations).otherwise(F.col("reached"))
+    return cut(hits.select("antecedents", "consequents", ((1 + reached) / (1 + n_permutations)).alias("p_value")))
+
+
+_WORD = (1 << 64) - 1
+
+
+def _holds(rules: list[tuple[list[str], list[str]]], kinds: Sequence[tuple[str, ...]], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether rules (rows) hold in orders (columns), by the first and last places of each kind of element in them."""
+    of: dict[str, list[int]] = {}
+    for at, kind in enumerate(kinds):
+        for i in kind:
+            of.setdefault(i, []).append(at)
+    first, last = {i: low[:, at].min(1) for i, at in of.items()}, {i: high[:, at].max(1) for i, at in of.items()}
+    return np.stack([reduce(np.maximum, [first[i] for i in a]) < reduce(np.minimum, [last[i] for i in c]) for a, c in rules])
+
+
+def _as_it_is(rules: list[tuple[list[str], list[str]]], elements: list[list[str]]) -> np.ndarray:
+    first, last = {}, {}
+    for at, e in enumerate(elements):
+        for i in e:
+            first.setdefault(i, at)
+            last[i] = at
+    return np.array([[max(first[i] for i in a) < min(last[i] for i in c)] for a, c in rules], np.int64)
+
+
+@lru_cache(8)
+def _orders(sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of kinds that occur so many times, a row for each of their distinct orders."""
+    free, low, high = np.arange(sum(sizes), dtype=np.int32)[None, :], [], []
+    for n in sizes:
+        rest = free.shape[1]
+        taken = list(combinations(range(rest), n))
+        left = np.array([[x for x in range(rest) if x not in t] for t in map(set, taken)], int).reshape(len(taken), rest - n)
+        low = [np.repeat(x, len(taken)) for x in low] + [free[:, [t[0] for t in taken]].ravel()]
+        high = [np.repeat(x, len(taken)) for x in high] + [free[:, [t[-1] for t in taken]].ravel()]
+        free = free[:, left].reshape(len(free) * len(taken), rest - n)
+    return np.stack(low, 1), np.stack(high, 1)
+
+
+def _at_random(rules: list[tuple[list[str], list[str]]], elements: list[list[str]], copies: int, n_permutations: int, rng: np.random.Generator) -> np.ndarray:
+    """In how many of ``copies`` equal sequences each rule (rows) holds in each permutation (columns).
+
+    Where elements have fewer distinct orders than are drawn, all orders are equally likely, so it is drawn how many
+    copies get an order with the same rules; otherwise each copy's elements get random places.
+    """
+    kinds, sizes = zip(*Counter(map(tuple, elements)).most_common(), strict=True)
+    draws = copies * n_permutations
+    orders = math.lgamma(len(elements) + 1) - sum(math.lgamma(n + 1) for n in sizes)
+    if orders <= math.log(min(draws, CELLS / (len(kinds) + len(rules)))) + 1e-9:
+        holds = np.packbits(_holds(rules, kinds, *_orders(sizes)), axis=0)
+        same, n = np.unique(holds, axis=1, return_counts=True)
+        got = rng.multinomial(copies, n / n.sum(), n_permutations)
+        return (np.unpackbits(same, axis=0, count=len(rules)).astype(float) @ got.T.astype(float)).astype(np.int64)  # whole below 2^53
+    out = np.zeros((len(rules), n_permutations), np.int64)
+    starts, step = np.cumsum([0, *sizes[:-1]]), max(1, CELLS // (len(elements) + len(rules)))
+    for begin in range(0, draws, step):
+        perm = np.arange(begin, min(begin + step, draws)) // copies
+        place = rng.random((len(perm), len(elements)))
+        holds = _holds(rules, kinds, np.minimum.reduceat(place, starts, axis=1), np.maximum.reduceat(place, starts, axis=1))
+        edges = np.flatnonzero(np.diff(perm, prepend=-1))
+        out[:, perm[edges]] += np.add.reduceat(holds, edges, axis=1, dtype=np.int64)
+    return out
